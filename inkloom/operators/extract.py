@@ -37,7 +37,7 @@ def settle(frame: DataFrame, keep: Sequence[str], **columns: Column) -> DataFram
     return frame.select(*keep, F.inline(F.array(F.struct(*named))))
 
 
-def _inside(texts: Column, place: Column) -> Column:
+def inside_text(texts: Column, place: Column) -> Column:
     """Joined entries of ``texts`` strictly inside an element."""
     count = F.greatest(place["end"] - place["i"] - 1, F.lit(0))
     return F.array_join(F.slice(texts, place["i"] + 2, count), "")
@@ -55,7 +55,7 @@ def page_title(opens: Column, events: Column) -> Column:
     heading = F.get(F.filter(opens, lambda e: e["tag"] == "h1"), F.lit(0))
     meta = F.get(matching(opens, 'meta[property="og:title"]'), F.lit(0))
     return F.coalesce(
-        none_if_blank(trim_ws(_inside(events["text"], heading))),
+        none_if_blank(trim_ws(inside_text(events["text"], heading))),
         none_if_blank(trim_ws(meta["attrs"]["content"])),
         F.lit(UNTITLED),
     )
@@ -181,7 +181,7 @@ def next_href(opens: Column, live: Column, root: Column, config: ExtractConfig =
     )
     labels = F.transform(
         F.filter(opens, lambda e: (e["tag"] == "a") & here(e)),
-        lambda e: F.struct(trim_ws(_inside(live, e)).alias("label"), href(e).alias("href")),
+        lambda e: F.struct(trim_ws(inside_text(live, e)).alias("label"), href(e).alias("href")),
     )
     exact = F.filter(
         labels, lambda a: a["label"].isin(*config.next_texts) & a["href"].isNotNull()
@@ -211,12 +211,12 @@ def live_events(rooted: DataFrame, keys=KEYS) -> DataFrame:
     return settle(rooted, [*keys, "events", "opens", "root", "title"], live=live)
 
 
-def page_blocks(events: DataFrame, config: ExtractConfig = DEFAULT, keys=KEYS) -> DataFrame:
-    """Title, ordered block array and next link of every page."""
+def page_candidates(events: DataFrame, config: ExtractConfig = DEFAULT, keys=KEYS) -> DataFrame:
+    """Every block element of the content root in order: tag, skip flag, text, inline markup."""
     root, opens, live = F.col("root"), F.col("opens"), F.col("live")
 
     def anchor_row(anchor: Column) -> Column:
-        label = nav_label(_inside(live, anchor))
+        label = nav_label(inside_text(live, anchor))
         nav = is_nav_label(trim_ws(label) if config.trim_nav_labels else label, config)
         return F.struct(anchor["i"].alias("i"), anchor["end"].alias("end"), nav.alias("nav"))
 
@@ -251,11 +251,11 @@ def page_blocks(events: DataFrame, config: ExtractConfig = DEFAULT, keys=KEYS) -
         return F.struct(
             block["tag"].alias("tag"),
             F.array_contains("navs", block["i"]).alias("skip"),
-            words_joined(_inside(live, block)).alias("words"),
-            _inside(F.col("inline"), block).alias("inner"),
+            words_joined(inside_text(live, block)).alias("words"),
+            inside_text(F.col("inline"), block).alias("inner"),
         )
 
-    candidates = settle(
+    return settle(
         navs,
         [*keys, "root", "title"],
         candidates=F.coalesce(
@@ -264,8 +264,12 @@ def page_blocks(events: DataFrame, config: ExtractConfig = DEFAULT, keys=KEYS) -
         ),
         next_href=next_href(opens, live, root, config),
     )
+
+
+def page_blocks(events: DataFrame, config: ExtractConfig = DEFAULT, keys=KEYS) -> DataFrame:
+    """Title, ordered block array and next link of every page."""
     raw = settle(
-        candidates,
+        page_candidates(events, config, keys),
         [*keys, "root", "title", "next_href"],
         raw_blocks=F.flatten(F.transform("candidates", lambda b: _block_html(b, config))),
     )
