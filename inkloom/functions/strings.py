@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +20,11 @@ NAV_GLYPHS = "«»←→›▶►"
 _SPACE_CLASS = f"[{UNICODE_SPACE}]"
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim_ws(text: Column) -> Column:
     """Cut Unicode white space at both ends."""
     return F.btrim(text, F.lit(UNICODE_SPACE))

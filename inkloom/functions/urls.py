@@ -5,44 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkloom.functions.strings import trim_ws
+from inkloom.functions.strings import bind, trim_ws
 
 # Fixed value: the generic address pattern of RFC 3986, appendix B.
 _PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?"
-_SCHEME, _HOST, _PATH, _QUERY, _FRAGMENT = 1, 2, 3, 4, 5
 # Characters a path or fragment may hold as they are, and the narrower set
 # that stays unescaped once anything has to be escaped.
-_VALID = r"^[A-Za-z0-9\-_.~$&+,/:;=@!'()*\[\]%]*$"
-_KEEP = r"^[A-Za-z0-9\-_.~$&+,/:;=@%]$"
+_VALID = r"^[A-Za-z0-9\-_.~$&+,/:;=@!'()*\[\]%#]*$"
+_KEEP = r"^[A-Za-z0-9\-_.~$&+,/:;=@%#]$"
 
 
-def _part(url: Column, group: int) -> Column:
-    return F.regexp_extract(url, _PARTS, group)
+def _parsed(url: Column) -> Column:
+    """Struct of scheme, host, path, query and fragment, the last two with their marks."""
 
+    def part(group: int) -> Column:
+        return F.regexp_extract(url, _PARTS, group)
 
-def _has_host(url: Column) -> Column:
-    return url.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//")
+    return F.struct(
+        F.lower(part(1)).alias("scheme"),
+        url.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//").alias("rooted"),
+        part(2).alias("host"),
+        part(3).alias("path"),
+        part(4).alias("query"),
+        part(5).alias("fragment"),
+    )
 
 
-def _escaped(path: Column) -> Column:
+def _escaped(text: Column) -> Column:
     """Percent-encode what a path may not hold; text that is already valid stays."""
     encoded = F.array_join(
         F.transform(
-            F.regexp_extract_all(path, F.lit("(?s)."), F.lit(0)),
-            lambda char: F.when(char.rlike(_KEEP), char).otherwise(
-                F.replace(F.url_encode(char), F.lit("+"), F.lit("%20"))
-            ),
+            F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)),
+            lambda char: F.when(char.rlike(_KEEP), char)
+            # url_encode leaves the star alone, which a re-escaped path does not.
+            .when(char == "*", F.lit("%2A"))
+            .otherwise(F.replace(F.url_encode(char), F.lit("+"), F.lit("%20"))),
         ),
         "",
     )
-    # url_encode leaves the star alone, which a re-escaped path does not.
-    return F.when(path.rlike(_VALID), path).otherwise(F.replace(encoded, F.lit("*"), F.lit("%2A")))
+    return F.when(text.rlike(_VALID), text).otherwise(encoded)
 
 
 def _without_dots(path: Column) -> Column:
-    """Fold ``.`` and ``..`` segments; the result starts with a slash."""
-    segments = F.split(path, "/")
-    last = F.element_at(segments, -1)
+    """Fold ``.`` and ``..`` segments; a path that is not empty starts with a slash."""
 
     def step(kept: Column, segment: Column) -> Column:
         return (
@@ -51,57 +56,60 @@ def _without_dots(path: Column) -> Column:
             .otherwise(F.array_append(kept, segment))
         )
 
-    rooted = F.when(path.startswith("/"), F.slice(segments, 2, F.size(segments))).otherwise(segments)
-    kept = F.aggregate(rooted, F.array().cast("array<string>"), step)
-    folded = F.concat(
-        F.lit("/"),
-        F.array_join(kept, "/"),
-        F.when(last.isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")),
+    def folded(segments: Column) -> Column:
+        ends_in_dots = F.element_at(segments, -1).isin(".", "..")
+        return bind(
+            F.aggregate(segments, F.array().cast("array<string>"), step),
+            lambda kept: F.concat(
+                F.lit("/"),
+                F.array_join(kept, "/"),
+                F.when(ends_in_dots & (F.size(kept) > 0), F.lit("/")).otherwise(""),
+            ),
+        )
+
+    return bind(
+        F.when((path == "") | path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)),
+        lambda rooted: F.when(
+            rooted.rlike(r"/\.\.?(/|$)"), bind(F.split(F.substring(rooted, 2, 1 << 30), "/"), folded)
+        ).otherwise(rooted),
+    )
+
+
+def _join(base: Column, ref: Column) -> Column:
+    """Target of the parsed reference ``ref`` on the parsed page address ``base``."""
+    fragment = F.when(F.length(ref["fragment"]) <= 1, F.lit("")).otherwise(_escaped(ref["fragment"]))
+    scheme = F.concat(base["scheme"], F.lit(":"))
+    site = F.concat(scheme, F.when(base["rooted"], F.lit("//")).otherwise(""), base["host"])
+    folder = F.regexp_extract(base["path"], r"(?s)^(.*/)", 1)
+    path, host = ref["path"], F.concat(F.lit("//"), ref["host"])
+    merged = F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))
+    bare = (path == "") & (ref["query"] == "")
+    front = (
+        F.when((ref["scheme"] != "") & ref["rooted"], F.concat(ref["scheme"], F.lit(":"), host, _escaped(path)))
+        .when(ref["scheme"] != "", F.concat(ref["scheme"], F.lit(":"), path))
+        .when(ref["rooted"], F.concat(scheme, host, _escaped(_without_dots(path))))
+        .when(path == "", F.concat(site, _escaped(base["path"])))
+        .otherwise(F.concat(site, _escaped(_without_dots(merged))))
+    )
+    own = (ref["scheme"] != "") | ref["rooted"]
+    return F.concat(
+        front,
+        F.when(bare & ~own, base["query"]).otherwise(ref["query"]),
+        F.when(bare & ~own & (fragment == ""), base["fragment"]).otherwise(fragment),
     )
-    clean = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
-    return F.when(path == "", F.lit("")).when(path.rlike(r"(^|/)\.\.?(/|$)"), folded).otherwise(clean)
 
 
 def resolve_url(base: Column, href: Column) -> Column:
     """Absolute address of ``href`` on page ``base``; empty when there is nothing to follow."""
-    ref = trim_ws(href)
-    bad = (
-        (ref == "")
-        | ref.rlike(r"[\x00-\x1f\x7f]")
-        | ref.rlike(r"%(?![0-9A-Fa-f]{2})")
-        | ref.rlike(r"^:")
+    bad_signs = (
+        r"^$|[\x00-\x1f\x7f]|%(?![0-9A-Fa-f]{2})|^:"
         # A colon in the first segment of a relative address makes it unreadable.
-        | (ref.rlike(r"^[^/?#]*:") & ~ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"))
+        r"|^(?![A-Za-z][A-Za-z0-9+.-]*:)[^/?#]*:"
     )
-    scheme, path = F.lower(_part(ref, _SCHEME)), _part(ref, _PATH)
-    query, fragment = _part(ref, _QUERY), _part(ref, _FRAGMENT)
-    fragment = F.when(fragment == "#", F.lit("")).otherwise(
-        F.when(fragment == "", F.lit("")).otherwise(
-            F.concat(F.lit("#"), _escaped(F.substring(fragment, 2, 1 << 30)))
+
+    def target(ref: Column) -> Column:
+        return F.when(ref.isNull() | ref.rlike(bad_signs), F.lit("")).otherwise(
+            bind(_parsed(base), lambda b: bind(_parsed(ref), lambda r: _join(b, r)))
         )
-    )
-    tail = F.concat(query, fragment)
-    base_scheme = F.concat(F.lower(_part(base, _SCHEME)), F.lit(":"))
-    base_root = F.concat(base_scheme, F.when(_has_host(base), F.lit("//")).otherwise(F.lit("")), _part(base, _HOST))
-    base_path = _part(base, _PATH)
-
-    absolute = F.concat(scheme, F.lit("://"), _part(ref, _HOST), _escaped(path), tail)
-    opaque = F.concat(scheme, F.lit(":"), path, tail)
-    same_scheme = F.concat(base_scheme, F.lit("//"), _part(ref, _HOST), _escaped(_without_dots(path)), tail)
-    same_page = F.concat(
-        base_root,
-        _escaped(base_path),
-        F.when(query == "", _part(base, _QUERY)).otherwise(query),
-        F.when((fragment == "") & (query == ""), _part(base, _FRAGMENT)).otherwise(fragment),
-    )
-    folder = F.regexp_extract(base_path, r"(?s)^(.*/)", 1)
-    merged = F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))
-    relative = F.concat(base_root, _escaped(_without_dots(merged)), tail)
-    return (
-        F.when(bad | ref.isNull(), F.lit(""))
-        .when((scheme != "") & _has_host(ref), absolute)
-        .when(scheme != "", opaque)
-        .when(_has_host(ref), same_scheme)
-        .when(path == "", same_page)
-        .otherwise(relative)
-    )
+
+    return bind(trim_ws(href), target)

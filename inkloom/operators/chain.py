@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from inkloom.functions.strings import none_if_blank
 from inkloom.functions.urls import resolve_url
+from inkloom.operators.extract import settle
 from inkloom.operators.keyed import lookup_join
 from inkloom.session import cut_lineage
 
 
 def page_edges(pages: DataFrame, href: str = "next_href") -> DataFrame:
     """``url`` and the absolute ``next_url``, null at the end of a chain."""
-    return pages.select("url", none_if_blank(resolve_url(F.col("url"), F.col(href))).alias("next_url"))
+    target = none_if_blank(resolve_url(F.col("url"), F.col(href)))
+    return settle(pages, ["url"], next_url=target)
 
 
 def next_edges(edges: DataFrame, **tuning) -> DataFrame:
@@ -53,6 +55,7 @@ def crawl_many(
     folder, which keeps plans small and lets lost executors resume.
     """
     limit = max(1, max_pages)
+    edges = cut_lineage(edges)
     known = edges.select(F.col("url").alias("next_url"), F.lit(True).alias("_known"))
     jumps = cut_lineage(
         lookup_join(
@@ -61,6 +64,7 @@ def crawl_many(
             "next_url",
             spread=["url"],
             how="inner",
+            left_rows=edges.count(),
             **tuning,
         ).select("url", F.col("next_url").alias("target"))
     )
@@ -70,24 +74,40 @@ def crawl_many(
             "start_url", F.lit(0).cast("bigint").alias("seq"), "url"
         )
     )
-    step = 1
+    # Stored tables know their length, which tells whether hot keys are possible at all.
+    walked_rows, jump_rows, step = walked.count(), jumps.count(), 1
     while step < limit:
         added = cut_lineage(
-            lookup_join(walked, jumps, "url", spread=["start_url", "seq"], how="inner", **tuning)
+            lookup_join(
+                walked,
+                jumps,
+                "url",
+                spread=["start_url", "seq"],
+                how="inner",
+                left_rows=walked_rows,
+                **tuning,
+            )
             .select("start_url", (F.col("seq") + step).alias("seq"), F.col("target").alias("url"))
             .filter(F.col("seq") < limit)
         )
-        if added.isEmpty():
+        added_rows = added.count()
+        if added_rows == 0:
             break
-        walked = walked.unionByName(added)
-        step *= 2
+        walked, walked_rows, step = walked.unionByName(added), walked_rows + added_rows, step * 2
         if step < limit:
             ahead = jumps.select(F.col("url").alias("target"), F.col("target").alias("_next"))
             jumps = cut_lineage(
-                lookup_join(jumps, ahead, "target", spread=["url"], how="inner", **tuning).select(
-                    "url", F.col("_next").alias("target")
-                )
+                lookup_join(
+                    jumps,
+                    ahead,
+                    "target",
+                    spread=["url"],
+                    how="inner",
+                    left_rows=jump_rows,
+                    **tuning,
+                ).select("url", F.col("_next").alias("target"))
             )
+            jump_rows = jumps.count()
     if stop_on_cycle:
         walked = walked.groupBy("start_url", "url").agg(F.min("seq").alias("seq"))
         walked = walked.select("start_url", "seq", "url")

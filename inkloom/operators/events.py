@@ -10,15 +10,20 @@ from __future__ import annotations
 
 import html as html_entities
 import re
+import sys
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkloom.config import NOISE_CLASSES, NOISE_TAGS
 
+# The parser travels to the workers with the plan, so they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 OPEN, CLOSE, TEXT = "open", "close", "text"
 
 EVENT_TYPE = T.StructType(

@@ -148,7 +148,8 @@ def wrap_block(tag: Column, inner: Column, config: ExtractConfig) -> Column:
     pieces = markup.split_on_break(markup.br_runs_to_break(inner, config))
     split = F.filter(F.transform(pieces, one), lambda html: html != "")
     # Most blocks hold no run of line breaks and need no splitting.
-    fewer = F.substring_index(inner, "<br/>", config.br_threshold) == inner
+    lower = F.lower(inner)
+    fewer = F.substring_index(lower, "<br", config.br_threshold) == lower
     if config.br_threshold <= 1 or not config.break_html:
         fewer = F.lit(True)
     plain = F.filter(F.array(trim_ws(inner)), lambda text: text != "")

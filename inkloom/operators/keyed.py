@@ -30,13 +30,17 @@ def lookup_join(
     how: str = "left",
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
+    left_rows: int | None = None,
 ) -> DataFrame:
     """Join to ``right``, unique on ``on``, with hot keys (and nulls) of ``left`` salted.
 
     Rows of a hot key are spread by a hash of the ``spread`` columns, which must tell rows of
     one key apart; only the few matching right rows are copied once per salt. A hash keeps the
-    choice the same when a lost task is run again.
+    choice the same when a lost task is run again. ``left_rows``, if the caller knows it, saves
+    the search for hot keys where there cannot be one.
     """
+    if left_rows is not None and left_rows <= hot_rows:
+        return left.join(right, on, how)
     hot = (
         left.groupBy(on)
         .agg(F.count(F.lit(1)).alias("_rows"))

@@ -91,7 +91,7 @@ def synth_requests(
     speed = F.lit(0.0) if speed is None else speed
     wanted = F.lit("") if wanted_format is None else wanted_format
     return chunks.filter(trim_ws(F.col("text")) != "").select(
-        *[name for name in chunks.columns if name != "text"],
+        *[name for name in chunks.columns if name not in ("text", "voice")],
         "text",
         F.coalesce(none_if_blank(trim_ws(voice)), F.lit(FALLBACK_VOICE)).alias("voice"),
         F.coalesce(F.nullif(rate, F.lit(0)), F.lit(SAMPLE_RATE)).cast("int").alias("sample_rate_hz"),

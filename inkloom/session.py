@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Write ``frame`` to the shared checkpoint folder once and read it from there."""
-    shared_folder(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    """Write ``frame`` once to the shared folder and read it from there.
+
+    A parquet table rather than a row checkpoint: later steps read only the columns they need
+    and know its size, and a lost executor costs nothing that was written.
+    """
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
