@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkloom.functions.strings import trim_ws
+from inkloom.functions.strings import bind, trim_ws
 
-# Fixed value: a segment ends after closing punctuation and white space, at a blank line or
-# at the very end of the text.
-SEGMENT = r"(?s).+?(?:[.!?]+[\"')\]]*[\t\n\f\r ]+|\n{2,}|\z)"
+# A segment is at least one character and ends after closing punctuation and
+# white space, at a blank line or at the very end of the text. Characters that cannot start an
+# end are skipped in one go, which keeps the search linear without a step per character.
+_END = r"[.!?]++[\"')\]]*+[\t\n\f\r ]+|\n{2,}"
+_SKIP = r"[^.!?\n]*+"
+SEGMENT = rf"(?s).{_SKIP}(?:(?!{_END}).{_SKIP})*+(?:{_END}|\z)"
 
 MAX_CHARS = 1800
 STRICT_FLOOR = 400
 
-_PIECE = "struct<text:string,fresh:boolean>"
-
 
 def normalise_text(text: Column) -> Column:
     """Line ends as ``\\n``, other white-space runs as one space."""
@@ -43,12 +44,13 @@ def hard_wrap(sentence: Column, limit: int) -> Column:
         r"(.{1,%d}[\t\n\f\r ]*\z|.{1,%d}(?=[ \n\t])|.{%d})" % (limit, limit, limit)
     )
     cut = F.transform(F.regexp_extract_all(sentence, F.lit(pattern), F.lit(1)), trim_ws)
-    kept = F.filter(cut, lambda piece, at: (at == 0) | (piece != ""))
-    last = F.size(kept) - 1
-    wrapped = F.transform(
-        kept,
-        lambda piece, at: F.when((at == 0) | (at < last), F.concat(piece, F.lit("\n"))).otherwise(
-            piece
+    wrapped = bind(
+        F.filter(cut, lambda piece, at: (at == 0) | (piece != "")),
+        lambda kept: F.transform(
+            kept,
+            lambda piece, at: F.when(
+                (at == 0) | (at < F.size(kept) - 1), F.concat(piece, F.lit("\n"))
+            ).otherwise(piece),
         ),
     )
     return F.when(F.length(sentence) > limit, wrapped).otherwise(
@@ -62,27 +64,26 @@ def _strict_wrap(sentence: Column, limit: int) -> Column:
     return F.regexp_extract_all(sentence, F.lit(pattern), F.lit(1))
 
 
+def _piece(text: Column, fresh: Column) -> Column:
+    """A piece and whether it must start a new chunk."""
+    return F.struct(text.alias("text"), fresh.alias("fresh"))
+
+
 def _as_pieces(sentence: Column, limit: int, strict: bool) -> Column:
     if strict:
         # A blank tail still closes the piece before it.
         pieces = F.transform(
             _strict_wrap(sentence, limit),
-            lambda piece, at: F.struct(
-                F.when((at > 0) & (trim_ws(piece) == ""), F.lit(""))
-                .otherwise(piece)
-                .alias("text"),
-                F.lit(True).alias("fresh"),
+            lambda piece, at: _piece(
+                F.when((at > 0) & (trim_ws(piece) == ""), F.lit("")).otherwise(piece), F.lit(True)
             ),
         )
     else:
         pieces = F.transform(
-            hard_wrap(sentence, limit),
-            lambda piece, at: F.struct(piece.alias("text"), (at == 0).alias("fresh")),
+            hard_wrap(sentence, limit), lambda piece, at: _piece(piece, at == 0)
         )
-    whole = F.array(F.struct(sentence.alias("text"), F.lit(False).alias("fresh")))
-    return F.when(F.length(sentence) > limit, pieces.cast(f"array<{_PIECE}>")).otherwise(
-        whole.cast(f"array<{_PIECE}>")
-    )
+    whole = F.array(_piece(sentence, F.lit(False)))
+    return F.when(F.length(sentence) > limit, pieces).otherwise(whole)
 
 
 def chunk_text(text: Column, limit: int = MAX_CHARS, *, strict: bool = False) -> Column:
@@ -94,28 +95,34 @@ def chunk_text(text: Column, limit: int = MAX_CHARS, *, strict: bool = False) ->
     if strict:
         limit = max(STRICT_FLOOR, limit)
     normal = normalise_text(text)
-    pieces = F.flatten(
-        F.transform(_segments(normal), lambda sentence: _as_pieces(sentence, limit, strict))
-    )
+
+    def pieces(sentences: Column) -> Column:
+        # Sentences that need cutting are rare: look for one before taking the long way.
+        return F.when(
+            F.exists(sentences, lambda s: F.length(s) > limit),
+            F.flatten(F.transform(sentences, lambda s: _as_pieces(s, limit, strict))),
+        ).otherwise(F.transform(sentences, lambda s: _piece(s, F.lit(False))))
 
     def closed(acc: Column) -> Column:
-        done = trim_ws(acc["open"])
-        return F.when(done == "", acc["out"]).otherwise(F.array_append(acc["out"], done))
+        return F.when(acc["open"] == "", acc["out"]).otherwise(
+            F.array_append(acc["out"], trim_ws(acc["open"]))
+        )
 
     def step(acc: Column, piece: Column) -> Column:
-        full = (F.length(acc["open"]) + F.length(piece["text"]) > limit) | piece["fresh"]
-        flush = full & (acc["open"] != "")
+        size = F.length(piece["text"])
+        flush = ((acc["size"] + size > limit) | piece["fresh"]) & (acc["size"] > 0)
         return F.struct(
             F.when(flush, closed(acc)).otherwise(acc["out"]).alias("out"),
             F.when(flush, piece["text"])
             .otherwise(F.concat(acc["open"], piece["text"]))
             .alias("open"),
+            F.when(flush, size).otherwise(acc["size"] + size).alias("size"),
         )
 
     start = F.struct(
-        F.array().cast("array<string>").alias("out"), F.lit("").alias("open")
+        F.array().cast("array<string>").alias("out"), F.lit("").alias("open"), F.lit(0).alias("size")
     )
-    packed = F.aggregate(pieces, start, step, closed)
+    packed = F.aggregate(bind(_segments(normal), pieces), start, step, closed)
     # Most texts fit into one chunk and need neither the segments nor the fold.
-    single = F.filter(F.array(trim_ws(normal)), lambda chunk: chunk != "")
-    return F.when(F.length(normal) <= limit, single).otherwise(packed)
+    chunks = F.when(F.length(normal) <= limit, F.array(trim_ws(normal))).otherwise(packed)
+    return F.filter(chunks, lambda chunk: chunk != "")

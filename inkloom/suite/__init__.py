@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkloom.sources.spread import spread_small
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -25,7 +27,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; the two of long rows get every core to work on them."""
+    frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    key = {"documents": "doc_id", "pages": "page_id"}.get(name)
+    return spread_small(frame, key) if key else frame
 
 
 def load() -> None:
