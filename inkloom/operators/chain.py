@@ -26,7 +26,7 @@ def next_edges(edges: DataFrame, **tuning) -> DataFrame:
     return joined.select("url", "next_url", found.alias("target_found"))
 
 
-def dangling_next(edges: DataFrame) -> DataFrame:
+def dangling_next(edges: DataFrame, **tuning) -> DataFrame:
     """Edges whose target is not among the pages."""
     linked = edges.filter(F.col("next_url").isNotNull())
     # Each missing target is looked for once, however many pages point at it.
@@ -34,9 +34,9 @@ def dangling_next(edges: DataFrame) -> DataFrame:
     missing = targets.join(
         edges.select(F.col("url").alias("next_url")), "next_url", "left_anti"
     ).withColumn("_missing", F.lit(True))
-    return lookup_join(linked, missing, "next_url", spread=["url"], how="inner").select(
-        "url", "next_url"
-    )
+    return lookup_join(
+        linked, missing, "next_url", spread=["url"], how="inner", **tuning
+    ).select("url", "next_url")
 
 
 def crawl_many(

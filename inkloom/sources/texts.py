@@ -37,11 +37,10 @@ def text_inputs(spark: SparkSession, path: str, *, recursive: bool = False) -> D
     if _is_file(spark, path) and not path.lower().endswith(".txt"):
         raise ValueError(f"not a .txt: {path}")
     reader = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", recursive)
+        spark.read.option("recursiveFileLookup", recursive)
         .option("pathGlobFilter", TEXT_FILES)
     )
-    files = reader.text(path).select(
+    files = reader.text(path, wholetext=True).select(
         _file_path().alias("path"), drop_broken_bytes(F.col("value")).alias("text")
     )
     return files.orderBy("path")

@@ -32,10 +32,9 @@ def stream_chapters(
 def text_stream(spark: SparkSession, folder: str, *, recursive: bool = False) -> DataFrame:
     """Whole text files as they arrive."""
     files = (
-        spark.readStream.option("wholetext", True)
-        .option("recursiveFileLookup", recursive)
+        spark.readStream.option("recursiveFileLookup", recursive)
         .option("pathGlobFilter", TEXT_FILES)
-        .text(folder)
+        .text(folder, wholetext=True)
     )
     return files.select(
         F.col("_metadata.file_path").alias("path"), drop_broken_bytes(F.col("value")).alias("text")

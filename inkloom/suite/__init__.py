@@ -27,10 +27,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; the two of long rows get every core to work on them."""
+    """A given table; those of long texts get every core to work on them."""
     frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    key = {"documents": "doc_id", "pages": "page_id"}.get(name)
-    return spread_small(frame, key) if key else frame
+    keys = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
+    return spread_small(frame, *keys[name]) if name in keys else frame
 
 
 def load() -> None:
