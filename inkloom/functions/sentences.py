@@ -21,7 +21,7 @@ STRICT_FLOOR = 400
 def normalise_text(text: Column) -> Column:
     """Line ends as ``\\n``, other white-space runs as one space."""
     unix = F.replace(text, F.lit("\r\n"), F.lit("\n"))
-    return F.regexp_replace(unix, r"[ \t\f\x0B]+", " ")
+    return F.regexp_replace(unix, r"[ \t\f\x0B]{2,}|[\t\f\x0B]", " ")
 
 
 def _segments(normal: Column) -> Column:

@@ -17,6 +17,8 @@ def build_session(app: str = "inkloom", master: str | None = None, **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # No call-site capture per column expression: extraction plans are built of hundreds.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         # Pages are wide rows: small Arrow batches keep a Python worker's memory flat.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
         **{key.replace("__", "."): value for key, value in conf.items()},
