@@ -16,6 +16,9 @@ SEGMENT = rf"(?s).{_SKIP}(?:(?!{_END}).{_SKIP})*+(?:{_END}|\z)"
 
 MAX_CHARS = 1800
 STRICT_FLOOR = 400
+# Pieces folded at a time. A fold copies what it has built at every step, so it builds piece
+# numbers rather than text and does so slab by slab, which stays fast for very long texts.
+SLAB = 256
 
 
 def normalise_text(text: Column) -> Column:
@@ -65,8 +68,8 @@ def _strict_wrap(sentence: Column, limit: int) -> Column:
 
 
 def _piece(text: Column, fresh: Column) -> Column:
-    """A piece and whether it must start a new chunk."""
-    return F.struct(text.alias("text"), fresh.alias("fresh"))
+    """A piece, its length and whether it must start a new chunk."""
+    return F.struct(text.alias("text"), F.length(text).alias("size"), fresh.alias("fresh"))
 
 
 def _as_pieces(sentence: Column, limit: int, strict: bool) -> Column:
@@ -86,6 +89,48 @@ def _as_pieces(sentence: Column, limit: int, strict: bool) -> Column:
     return F.when(F.length(sentence) > limit, pieces).otherwise(whole)
 
 
+def _chunk_starts(pieces: Column, limit: int) -> Column:
+    """Numbers of the pieces that begin a chunk, found by filling chunks greedily."""
+    none = F.array().cast("array<int>")
+
+    def state(starts: Column, size: Column, at: Column) -> Column:
+        return F.struct(starts.alias("starts"), size.alias("size"), at.alias("at"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        full = (acc["size"] + piece["size"] > limit) | piece["fresh"]
+        flush = full & (acc["size"] > 0)
+        return state(
+            F.when(flush, F.array_append(acc["starts"], acc["at"])).otherwise(acc["starts"]),
+            F.when(flush, piece["size"]).otherwise(acc["size"] + piece["size"]),
+            acc["at"] + 1,
+        )
+
+    def slab_step(acc: Column, slab: Column) -> Column:
+        folded = F.aggregate(slab, state(none, acc["size"], acc["at"]), step)
+        return bind(
+            folded, lambda new: state(F.concat(acc["starts"], new["starts"]), new["size"], new["at"])
+        )
+
+    slabs = F.transform(
+        F.sequence(F.lit(1), F.size(pieces), F.lit(SLAB)), lambda i: F.slice(pieces, i, SLAB)
+    )
+    first = state(F.array(F.lit(0)), F.lit(0), F.lit(0))
+    return F.aggregate(slabs, first, slab_step, lambda acc: acc["starts"])
+
+
+def _joined(pieces: Column, starts: Column) -> Column:
+    """Chunk texts: the pieces from each start up to the next."""
+
+    def assemble(texts: Column, begins: Column) -> Column:
+        def one(begin: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(begins, k + 1), F.size(texts))
+            return trim_ws(F.array_join(F.slice(texts, begin + 1, end - begin), ""))
+
+        return F.transform(begins, one)
+
+    return bind(pieces["text"], lambda texts: bind(starts, lambda begins: assemble(texts, begins)))
+
+
 def chunk_text(text: Column, limit: int = MAX_CHARS, *, strict: bool = False) -> Column:
     """Array of chunks of at most ``limit`` characters, filled greedily with sentences.
 
@@ -103,26 +148,7 @@ def chunk_text(text: Column, limit: int = MAX_CHARS, *, strict: bool = False) ->
             F.flatten(F.transform(sentences, lambda s: _as_pieces(s, limit, strict))),
         ).otherwise(F.transform(sentences, lambda s: _piece(s, F.lit(False))))
 
-    def closed(acc: Column) -> Column:
-        return F.when(acc["open"] == "", acc["out"]).otherwise(
-            F.array_append(acc["out"], trim_ws(acc["open"]))
-        )
-
-    def step(acc: Column, piece: Column) -> Column:
-        size = F.length(piece["text"])
-        flush = ((acc["size"] + size > limit) | piece["fresh"]) & (acc["size"] > 0)
-        return F.struct(
-            F.when(flush, closed(acc)).otherwise(acc["out"]).alias("out"),
-            F.when(flush, piece["text"])
-            .otherwise(F.concat(acc["open"], piece["text"]))
-            .alias("open"),
-            F.when(flush, size).otherwise(acc["size"] + size).alias("size"),
-        )
-
-    start = F.struct(
-        F.array().cast("array<string>").alias("out"), F.lit("").alias("open"), F.lit(0).alias("size")
-    )
-    packed = F.aggregate(bind(_segments(normal), pieces), start, step, closed)
+    packed = bind(bind(_segments(normal), pieces), lambda p: _joined(p, _chunk_starts(p, limit)))
     # Most texts fit into one chunk and need neither the segments nor the fold.
     chunks = F.when(F.length(normal) <= limit, F.array(trim_ws(normal))).otherwise(packed)
     return F.filter(chunks, lambda chunk: chunk != "")

@@ -26,12 +26,18 @@ ALIASES = (
 )
 
 
+def _inline_table(spark: SparkSession, rows: tuple, columns: str) -> DataFrame:
+    values = ", ".join("('" + "', '".join(row) + "')" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
+
+
 def voice_catalog(spark: SparkSession, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``voices (id, lang, gender, display)`` and ``aliases (alias, maps_to)``."""
     if path is None:
+        # Inline tables: the optimizer knows their size.
         return (
-            spark.createDataFrame(VOICES, "id string, lang string, gender string, display string"),
-            spark.createDataFrame(ALIASES, "alias string, maps_to string"),
+            _inline_table(spark, VOICES, "id, lang, gender, display"),
+            _inline_table(spark, ALIASES, "alias, maps_to"),
         )
     catalog = spark.read.schema(CATALOG_SCHEMA).option("multiLine", True).json(path)
     aliases = catalog.select(F.explode("aliases").alias("alias", "maps_to"))

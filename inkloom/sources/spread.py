@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread_small(frame: DataFrame, *key: str) -> DataFrame:
+def spread_small(frame: DataFrame, *key: str, scan: DataFrame | None = None) -> DataFrame:
     """Spread a scan of fewer splits than there are cores over all cores, by a unique key.
 
     Per-row work on long texts is what costs here, so a few large row groups would leave most
     cores idle. A large input has more splits than cores and is left alone: no shuffle there.
+    For a stream, ``scan`` is the batch read of the same files.
     """
     cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores, *key) if frame.rdd.getNumPartitions() < cores else frame
+    splits = (frame if scan is None else scan).rdd.getNumPartitions()
+    return frame.repartition(cores, *key) if splits < cores else frame

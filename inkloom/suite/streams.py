@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame
 
 from inkloom.session import shared_folder
+from inkloom.sources.spread import spread_small
 from inkloom.streaming import document_stream, page_stream, stream_chapters, stream_chunks
-from inkloom.suite import query, table
+from inkloom.suite import query
 from inkloom.suite.pages import CHAPTERS_SQL
 from inkloom.suite.texts import chunk_ctes
 
@@ -23,7 +24,8 @@ def _drained(spark, start) -> DataFrame:
 
 @query("stream_chapters", CHAPTERS_SQL)
 def chapters(spark, sf_dir) -> DataFrame:
-    pages = page_stream(spark, sf_dir, "pages.parquet")
+    scan = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = spread_small(page_stream(spark, sf_dir, "pages.parquet"), "page_id", scan=scan)
     return _drained(spark, lambda out, checkpoint: stream_chapters(pages, out, checkpoint))
 
 
@@ -32,8 +34,9 @@ def chapters(spark, sf_dir) -> DataFrame:
     f"WITH RECURSIVE {chunk_ctes(1800)} SELECT doc_id, part_no, text, n_chars FROM chunks",
 )
 def chunks(spark, sf_dir) -> DataFrame:
-    schema = table(spark, sf_dir, "documents").schema
-    documents = document_stream(spark, sf_dir, schema, "documents.parquet")
+    scan = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    documents = document_stream(spark, sf_dir, scan.schema, "documents.parquet")
+    documents = spread_small(documents, "doc_id", scan=scan)
     return _drained(
         spark, lambda out, checkpoint: stream_chunks(documents, out, checkpoint, key="doc_id")
     )
