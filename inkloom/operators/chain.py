@@ -49,6 +49,8 @@ def crawl_many(
 ) -> DataFrame:
     """Walk from every ``start_url``: ``(start_url, seq, url)`` with ``seq`` from 0.
 
+    ``edges`` holds every page once (``url`` is unique) with its ``next_url`` or null.
+
     Walks double: a round joins what has been walked with links of 1, 2, 4 ... pages, so
     ``max_pages`` takes log2 rounds rather than one join per page. Loops repeat pages up to
     ``max_pages`` unless ``stop_on_cycle``. Each round is written to the shared checkpoint
