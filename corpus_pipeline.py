@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkloom.llm import language, line_dedup, simhash
+from inkloom.llm import decontaminate, language, line_dedup, mixing, simhash
 from inkloom.session import cut_lineage
 
 
@@ -25,10 +25,22 @@ def near_deduped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return simhash.one_of_each(docs, shingle=3, radius=3)
 
 
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, with how many of their words it takes."""
+    return mixing.mixed(docs, weights=(3, 1, 2), share=1.5, most=2)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", language_id),
     ("line_dedup", line_deduped),
     ("simhash_near_dedup", near_deduped),
+    ("decontamination", decontaminated),
+    ("source_mix", source_mixed),
 ]
 
 #: The trained language model and the edit matching have no SQL form.

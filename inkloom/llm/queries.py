@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkloom.llm import language, line_dedup, simhash
+from inkloom.llm import decontaminate, language, line_dedup, mixing, simhash
 from inkloom.llm.common import fold, pick
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,74 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query(
+    "op3_source_mix",
+    r"""
+    WITH sized AS (
+      SELECT doc_id, source,
+             len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+             md5(coalesce(doc_id::VARCHAR, '')) AS mix_key
+      FROM documents
+    ), words AS (
+      SELECT source, sum(size)::BIGINT AS source_size,
+             row_number() OVER (ORDER BY source NULLS LAST) AS s
+      FROM sized GROUP BY source
+    ), weighed AS (
+      SELECT *, [3.0, 1.0, 2.0][(s - 1) % 3 + 1]::DOUBLE AS w, source_size * 2.0::DOUBLE AS cap
+      FROM words
+    ), levels AS (
+      SELECT *, (SELECT sum(source_size) FROM words) * 1.5::DOUBLE - coalesce(sum(cap) OVER before, 0) AS rest,
+             sum(w) OVER onward AS rest_w, row_number() OVER (ORDER BY cap / w, s) AS k
+      FROM weighed
+      WINDOW before AS (ORDER BY cap / w, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+             onward AS (ORDER BY cap / w, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+    ), first AS (
+      SELECT k, rest, rest_w FROM levels WHERE rest * w <= cap * rest_w ORDER BY k LIMIT 1
+    ), sources AS (
+      SELECT l.s, l.source, l.source_size,
+             CASE WHEN l.k < coalesce(f.k, l.k + 1) THEN l.cap ELSE l.w * f.rest / f.rest_w END AS target,
+             greatest(1, least(1024, l.source_size // 256)) AS block_words
+      FROM levels l LEFT JOIN first f ON true
+    ), blocked AS (
+      SELECT *, (source_size + block_words - 1) // block_words AS blocks,
+             sum(target / block_words) OVER (ORDER BY s) AS upto
+      FROM sources
+    ), ranges AS (
+      SELECT s, blocks, coalesce(lag(upto) OVER (ORDER BY s), 0) AS low, upto AS high,
+             max(upto) OVER () AS whole
+      FROM blocked WHERE source_size > 0
+    ), slots AS (
+      SELECT slot, ((slot % 1073741824) * 663608941 % 1073741824) / 1073741824.0::DOUBLE AS point
+      FROM range((SELECT coalesce(max(whole) + 0.5, 0)::DOUBLE // 1 FROM ranges)::BIGINT) t(slot)
+    ), dealt AS (
+      SELECT s, blocks, row_number() OVER (PARTITION BY s ORDER BY slot) - 1 AS rank
+      FROM slots JOIN ranges ON point >= low / whole AND (point < high / whole OR high = whole)
+    ), times AS (
+      SELECT s, rank % blocks AS block, count(*) AS passes
+      FROM dealt WHERE rank // blocks < 2 GROUP BY 1, 2
+    ), placed AS (
+      SELECT d.doc_id, d.size, b.s, b.source_size, b.target, b.block_words, d.mix_key,
+             coalesce(sum(d.size) OVER (PARTITION BY b.s ORDER BY d.mix_key, d.doc_id, d.size
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+      FROM sized d JOIN blocked b ON d.source IS NOT DISTINCT FROM b.source
+    ), pieces AS (
+      SELECT s, start, size, block_words,
+             unnest(range(start // block_words, (start + size - 1) // block_words + 1)) AS block
+      FROM placed WHERE size > 0
+    ), taken AS (
+      SELECT s, start, sum(passes * (least(start + size, (block + 1) * block_words)
+                                     - greatest(start, block * block_words))) AS taken
+      FROM pieces JOIN times USING (s, block) GROUP BY 1, 2
+    )
+    SELECT p.doc_id, p.size, p.source_size, p.target,
+           CASE WHEN p.size > 0 THEN coalesce(t.taken, 0) ELSE 0 END::BIGINT AS taken
+    FROM placed p LEFT JOIN taken t ON p.s = t.s AND p.start = t.start
+    """,
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(documents(spark, sf_dir), weights=(3, 1, 2), share=1.5, most=2)
+
+
 @query(
     "op4_line_dedup",
     r"""
@@ -66,6 +134,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "held_out", "found.*")
 
 
+@query("op6_decontaminate")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.contaminated(documents(spark, sf_dir), benchmark, share=0.05)
+
+
 @query("op8_simhash")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir), shingle=3, radius=3, seed=42)
