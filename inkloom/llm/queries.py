@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkloom.llm import decontaminate, language, line_dedup, mixing, simhash
+from inkloom.llm import decontaminate, language, line_dedup, mixing, simhash, toxicity
 from inkloom.llm.common import fold, pick
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,7 +66,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM blocked WHERE source_size > 0
     ), slots AS (
       SELECT slot, ((slot % 1073741824) * 663608941 % 1073741824) / 1073741824.0::DOUBLE AS point
-      FROM range((SELECT coalesce(max(whole) + 0.5, 0)::DOUBLE // 1 FROM ranges)::BIGINT) t(slot)
+      FROM range((SELECT floor(coalesce(max(whole) + 0.5, 0)) FROM ranges)::BIGINT) t(slot)
     ), dealt AS (
       SELECT s, blocks, row_number() OVER (PARTITION BY s ORDER BY slot) - 1 AS rank
       FROM slots JOIN ranges ON point >= low / whole AND (point < high / whole OR high = whole)
@@ -145,3 +145,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir), shingle=3, radius=3, seed=42)
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(documents(spark, sf_dir), doc_id="bigint", text="string")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    score = toxicity.toxicity_of(spark, toxicity.fit_toxicity(docs, labels, folds=5, held_out=0))
+    return docs.select(
+        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), score("text").alias("score")
+    ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
