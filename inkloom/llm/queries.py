@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkloom.llm import decontaminate, language, line_dedup, mixing, simhash, toxicity
+from inkloom.llm import (
+    decontaminate,
+    language,
+    line_dedup,
+    mixing,
+    multiset_hash,
+    simhash,
+    toxicity,
+)
 from inkloom.llm.common import fold, pick
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,6 +155,80 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+@query(
+    "op9_fingerprint",
+    r"""
+    WITH d AS (
+      SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n,
+             row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS m
+      FROM documents
+    ), e AS (
+      SELECT a.doc_id, a.i, a.n, a.text, b.i AS j,
+             substr(a.text, 1, a.n - a.n // 4) || substr(b.text, 1, a.n // 4) AS edited
+      FROM d a JOIN d b ON b.i = (a.i + 1) % a.m
+    ), t AS (
+      SELECT i, 0 AS kind, text AS t FROM e UNION ALL SELECT i, 1, edited FROM e
+    ), u AS (
+      SELECT i, kind, md5(unnest(regexp_extract_all(t,
+        '(?:[^\x20\x09-\x0D]*[^\x20\x09-\x0D.!?][\x20\x09\x0B-\x0D]+){0,5}[^\x20\x09-\x0D]+'))) AS h
+      FROM t
+    ), numbers AS (
+      SELECT i, kind, ('0x' || substr(h, 1, 15))::BIGINT AS x, ('0x' || substr(h, 17, 15))::BIGINT AS y
+      FROM u
+    ), levelled AS (
+      SELECT i, kind, (x >> 16 & 65535) % 24 AS lane, x & 65535 AS value,
+             unnest(range(0, 1 + len(list_filter([1, 3, 7, 15, 31, 63, 127], lambda k: x >> 32 & k = 0)))) AS level
+      FROM numbers
+    ), lanes AS (
+      SELECT i, kind, level * 24 + lane AS lane, sum(value)::BIGINT % 65536 AS total
+      FROM levelled GROUP BY ALL
+    ), whole AS (
+      SELECT i, kind, count(x) AS n,
+             coalesce(sum(x & 1073741823)::HUGEINT % 4294967296, 0)::BIGINT AS d0,
+             coalesce(sum(x >> 30)::HUGEINT % 4294967296, 0)::BIGINT AS d1,
+             coalesce(sum(y & 1073741823)::HUGEINT % 4294967296, 0)::BIGINT AS d2,
+             coalesce(sum(y >> 30)::HUGEINT % 4294967296, 0)::BIGINT AS d3
+      FROM t LEFT JOIN numbers USING (i, kind) GROUP BY ALL
+    ), prints AS (
+      SELECT w.i, w.kind, w.n,
+             printf('%08x%08x%08x%08x%08x', w.n, d0, d1, d2, d3) AS head,
+             coalesce(string_agg(printf('%06x', lane * 65536 + total), '' ORDER BY lane), '') AS tail
+      FROM whole w LEFT JOIN lanes l ON w.i = l.i AND w.kind = l.kind GROUP BY ALL
+    ), pairs AS (
+      SELECT i, 0 AS pair, i AS other, 1 AS kind FROM e UNION ALL SELECT i, 1, j, 0 FROM e
+    ), sides AS (
+      SELECT p.i, p.pair, l.lane, l.total FROM pairs p JOIN lanes l ON l.i = p.i AND l.kind = 0
+      UNION ALL
+      SELECT p.i, p.pair, l.lane, l.total FROM pairs p JOIN lanes l ON l.i = p.other AND l.kind = p.kind
+    ), differ AS (
+      SELECT i, pair, lane // 24 AS level FROM sides
+      GROUP BY i, pair, lane HAVING count(*) = 1 OR min(total) <> max(total)
+    ), off AS (
+      SELECT p.i, p.pair, k.level, count(f.level) AS off
+      FROM pairs p, range(0, 8) k(level)
+      LEFT JOIN differ f ON f.i = p.i AND f.pair = p.pair AND f.level = k.level GROUP BY ALL
+    ), used AS (
+      SELECT i, pair, min_by(off, level) AS off, min(level) AS level
+      FROM off WHERE 2 * off <= 24 OR level = 7 GROUP BY i, pair
+    ), near AS (
+      SELECT p.i, p.pair,
+             CASE WHEN a.n + b.n = 0 OR a.head || a.tail = b.head || b.tail THEN 1.0
+             ELSE round(greatest(0.0, least(1.0, 1 - (-ln(1 - least(u.off, 23.5::DOUBLE) / 24.0::DOUBLE)
+               * 24 * pow(2.0::DOUBLE, u.level)) / (a.n + b.n))), 6) END::DOUBLE AS near
+      FROM pairs p JOIN used u ON u.i = p.i AND u.pair = p.pair
+      JOIN prints a ON a.i = p.i AND a.kind = 0 JOIN prints b ON b.i = p.other AND b.kind = p.kind
+    )
+    SELECT e.doc_id, e.n AS n_chars, sha256(e.edited) AS edited_sha256,
+           a.head || a.tail AS fingerprint, b.head || b.tail AS edited_fingerprint,
+           x.near AS near_edited, y.near AS near_next
+    FROM e JOIN prints a ON a.i = e.i AND a.kind = 0 JOIN prints b ON b.i = e.i AND b.kind = 1
+    JOIN near x ON x.i = e.i AND x.pair = 0 JOIN near y ON y.i = e.i AND y.pair = 1
+    """,
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.with_edits(documents(spark, sf_dir))
+
+
 @query("op10_toxicity")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(documents(spark, sf_dir), doc_id="bigint", text="string")
