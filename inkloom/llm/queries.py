@@ -13,6 +13,7 @@ from inkloom.llm import (
     line_dedup,
     mixing,
     multiset_hash,
+    secrets,
     simhash,
     toxicity,
 )
@@ -148,6 +149,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), benchmark, share=0.05)
 
 
+@query("op7_secrets")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(documents(spark, sf_dir))
+
+
 @query("op8_simhash")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir), shingle=3, radius=3, seed=42)
