@@ -15,6 +15,7 @@ from inkloom.llm import (
     multiset_hash,
     secrets,
     simhash,
+    style_tree,
     toxicity,
 )
 from inkloom.llm.common import fold, pick
@@ -37,6 +38,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query("op1_style_tree")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 @query(
     "op3_source_mix",
     r"""
