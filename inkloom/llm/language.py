@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkloom.llm.common import fold, packed, pick, unpacked
+from inkloom.session import cut_lineage
 
 WORD = re.compile(r"[^\W\d_]+")
 LENGTHS = (5, 4, 3, 2, 1)
@@ -114,7 +115,7 @@ def fit_languages(
     *,
     folds: int = 3,
     held_out: int = 1,
-    docs_a_language: int = 20_000,
+    docs_a_language: int = 10_000,
     max_words: int = 60_000,
     max_grams: int = 20_000,
 ) -> LanguageModel:
@@ -158,7 +159,7 @@ def fit_languages(
                 )
 
     shape = "feature string, lang string, n bigint"
-    words = (
+    words = cut_lineage(
         sample.mapInArrow(counted, shape).groupBy("feature", "lang").agg(F.sum("n").alias("n"))
     )
 
@@ -179,7 +180,9 @@ def fit_languages(
             )
 
     word_rows = _counted(words, langs, max_words)
-    grams = words.mapInArrow(spelled, shape)
+    grams = cut_lineage(
+        words.mapInArrow(spelled, shape).groupBy("feature", "lang").agg(F.sum("n").alias("n"))
+    )
     gram_index: dict[str, int] = {}
     gram_logs = []
     for length in LENGTHS:
