@@ -16,6 +16,7 @@ from inkloom.llm import (
     secrets,
     simhash,
     style_tree,
+    suffix_dedup,
     toxicity,
 )
 from inkloom.llm.common import fold, pick
@@ -43,6 +44,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return style_tree.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeats(documents(spark, sf_dir), length=200)
+    left = suffix_dedup.what_is_left("text", "spans")
+    return found.select("doc_id", left.alias("left")).select("doc_id", "left.*")
+
+
 @query(
     "op3_source_mix",
     r"""
