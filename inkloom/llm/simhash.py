@@ -278,4 +278,4 @@ def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: int =
     ).distinct()
     rows = packed(docs).join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
     chosen = rows.groupBy("doc_id").agg(F.min(F.struct("text", "row")).alias("least"))
-    return unpacked(chosen.select(F.col("least.row").alias("row")), docs.columns)
+    return unpacked(chosen.select("least.text", "least.row"), docs.columns)
