@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkloom.llm.common import pick
+from inkloom.session import cut_lineage
 
 # The patterns of known shapes and the least length of each.
 ASSIGN = re.compile(
@@ -79,7 +81,7 @@ class RandomnessModel:
 
     first: np.ndarray
     pairs: np.ndarray
-    threshold: float = 1.0
+    threshold: float = 0.5
 
     def ratio(self, token: str) -> float:
         """Mean log-likelihood ratio per character of an ASCII token."""
@@ -102,7 +104,7 @@ class RandomnessModel:
         return found
 
 
-def trained(random: list[str], ordinary: list[str], threshold: float = 1.0) -> RandomnessModel:
+def trained(random: list[str], ordinary: list[str], threshold: float = 0.5) -> RandomnessModel:
     """Counts of firsts and pairs of each label, plus one half, as log ratios.
 
     Labels without samples leave a flat model, and two flat models a ratio of zero everywhere.
@@ -142,12 +144,13 @@ def values_of(text: str) -> list[str]:
 
 def fit_randomness(
     docs: DataFrame, *, max_docs: int = 10_000, max_samples: int = 20_000, drawn: int = 6_000,
-    threshold: float = 1.0,
+    threshold: float = 0.5,
 ) -> RandomnessModel:
     """A model from samples labelled by the patterns, out of about ``max_docs`` texts.
 
     The texts are chosen by a hash; of either label the ``max_samples`` samples of smallest hash
-    are used. Ordinary samples are the distinct words of the chosen texts outside all spans.
+    are used. Ordinary samples are words outside all spans that two of the chosen texts have at
+    least, as a secret in one text is no ordinary word.
     """
     rows = pick(docs, doc_id="bigint", text="string").filter(F.col("text").isNotNull())
     share = min(1.0, max_docs / max(1, rows.count()))
@@ -155,26 +158,32 @@ def fit_randomness(
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: set[tuple[str, bool]] = set()
+            seen: Counter = Counter()
             for text in batch["text"]:
                 text = text.as_py()
-                seen |= {(value, True) for value in values_of(text)}
                 at, plain = 0, []
                 for _, start, end in base_spans(text):
                     plain.append(text[at:start])
                     at = max(at, end)
                 plain.append(text[at:])
-                seen |= {(word, False) for part in plain for word in WORD.findall(part)}
+                seen.update({(value, True) for value in values_of(text)})
+                seen.update({(word, False) for part in plain for word in WORD.findall(part)})
             yield pa.RecordBatch.from_arrays(
-                [pa.array([s for s, _ in seen], pa.string()), pa.array([r for _, r in seen], pa.bool_())],
-                names=["sample", "random"],
+                [
+                    pa.array([s for s, _ in seen], pa.string()),
+                    pa.array([r for _, r in seen], pa.bool_()),
+                    pa.array(list(seen.values()), pa.int64()),
+                ],
+                names=["sample", "random", "texts"],
             )
 
-    samples = (
+    samples = cut_lineage(
         rows.filter(draw < share)
         .select("text")
-        .mapInArrow(labelled, "sample string, random boolean")
-        .distinct()
+        .mapInArrow(labelled, "sample string, random boolean, texts bigint")
+        .groupBy("sample", "random")
+        .agg(F.sum("texts").alias("texts"))
+        .filter(F.col("random") | (F.col("texts") > 1))
     )
 
     def some(random: bool) -> list[str]:

@@ -72,6 +72,7 @@ TAG = re.compile(
     r"""<(?:!--|(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>"""
     r"""|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|[!?/][^>]*+>)"""
 )
+COMMENT = re.compile("<!--")
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]++)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)|([^\s"'=<>/]++)""")
 NAME_PARTS = re.compile(r"[a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -218,7 +219,8 @@ class Page:
         last = source.rfind(">")
         skipped: str | None = None  # an inline element that is no text, such as a button
         while at < end:
-            m = TAG.search(source, at) if at <= last else None
+            # No tag ends after the last ">"; a comment may still begin there and never end.
+            m = TAG.search(source, at, last + 1) or COMMENT.search(source, max(at, last - 3))
             upto = m.start() if m else end
             if skipped is None and upto > at:
                 text = source[at:upto]
@@ -226,7 +228,7 @@ class Page:
             if m is None:
                 return
             at = m.end()
-            name = m.group(2) or m.group(5)
+            name = None if m.re is COMMENT else m.group(2) or m.group(5)
             if name is None:
                 if m.group() == "<!--":
                     close = source.find("-->", at - 2)

@@ -22,7 +22,7 @@ def stated(text: str):
     found = [
         (kind, m.start(), m.end())
         for kind, pattern, group, least in STATED
-        for m in re.finditer(pattern, text)
+        for m in re.finditer(pattern, text, re.ASCII)
         if len(m.group(group)) >= least
     ]
     order = [kind for kind, *_ in STATED]
