@@ -87,16 +87,20 @@ def br_runs_to_break(html: Column, config: ExtractConfig) -> Column:
     """Runs of at least ``br_threshold`` line breaks become one scene break."""
     if config.br_threshold <= 1 or not config.break_html:
         return html
-    run = r"(?i)(?:<br[\t\n\f\r ]*/?>[\t\n\f\r ]*){%d,}" % config.br_threshold
+    # Possessive throughout: such a run is matched in a loop, however long it is.
+    run = r"(?i)(?:<br[\t\n\f\r ]*+/?+>[\t\n\f\r ]*+){%d,}+" % config.br_threshold
     return F.regexp_replace(html, run, config.break_html)
 
 
 def split_on_break(html: Column) -> Column:
     """Array of pieces with every scene break as its own element, no empty pieces."""
+    # The mark is \u0001b; a \u0001 of the text itself waits as \u0001e.
+    safe = F.replace(html, F.lit("\u0001"), F.lit("\u0001e"))
     marked = F.regexp_replace(
-        html, r'(<hr class="scene-break"[\t\n\f\r ]*/>|<p class="spacer"></p>)', "\u0001$1\u0001"
+        safe, r'(<hr class="scene-break"[\t\n\f\r ]*+/>|<p class="spacer"></p>)', "\u0001b$1\u0001b"
     )
-    return F.filter(F.split(marked, "\u0001"), lambda piece: piece != "")
+    pieces = F.filter(F.split(marked, "\u0001b"), lambda piece: piece != "")
+    return F.transform(pieces, lambda piece: F.replace(piece, F.lit("\u0001e"), F.lit("\u0001")))
 
 
 def dedupe_adjacent_breaks(blocks: Column) -> Column:
@@ -116,16 +120,19 @@ def html_to_text(html: Column) -> Column:
     closing block tag ends a line. Inline opening tags reset that memory; ``br`` and ``hr``
     give a line and leave it alone.
     """
-    # Keep only the tags that matter: O = block open, C = block close, N = line, I = inline open.
-    marked = F.regexp_replace(html, r"(?i)<(?:br|hr)\b[^>]*>", "\u0002N")
+    # Keep only the tags that matter: O = block open, C = block close, N = line, I = inline open;
+    # E = a mark that the text itself holds.
+    marked = F.replace(html, F.lit("\u0002"), F.lit("\u0002E"))
+    marked = F.regexp_replace(marked, r"(?i)<(?:br|hr)\b[^>]*>", "\u0002N")
     marked = F.regexp_replace(marked, r"(?i)<(?:p|div|blockquote|li)(?:[\t\n\f\r /][^>]*)?>", "\u0002O")
     marked = F.regexp_replace(marked, r"(?i)</(?:p|div|blockquote|li)[\t\n\f\r ]*>", "\u0002C")
     marked = F.regexp_replace(marked, r"<[A-Za-z][^>]*>", "\u0002I")
     marked = F.regexp_replace(marked, r"</[^>]*>", "")
     # A block that opens after a block, with no close or inline tag between, gives no line.
     # Looking behind sees the unreplaced text, so one linear pass settles whole chains.
-    nested = r"(?<=\u0002O)([^\u0002]*+(?:\u0002N[^\u0002]*+)*+)\u0002O"
+    nested = r"(?<=\u0002O)([^\u0002]*+(?:\u0002[NE][^\u0002]*+)*+)\u0002O"
     marked = F.regexp_replace(marked, nested, "$1\u0002P")
     plain = F.regexp_replace(marked, r"\u0002[NOC]", "\n")
     plain = F.regexp_replace(plain, r"\u0002[IP]", "")
+    plain = F.replace(plain, F.lit("\u0002E"), F.lit("\u0002"))
     return F.rtrim(unescape_html(plain), F.lit("\n"))

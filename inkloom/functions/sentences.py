@@ -131,12 +131,17 @@ def _joined(pieces: Column, starts: Column) -> Column:
     return bind(pieces["text"], lambda texts: bind(starts, lambda begins: assemble(texts, begins)))
 
 
-def chunk_text(text: Column, limit: int = MAX_CHARS, *, strict: bool = False) -> Column:
+def chunk_text(
+    text: Column, limit: int = MAX_CHARS, *, strict: bool = False, floor: int = 0
+) -> Column:
     """Array of chunks of at most ``limit`` characters, filled greedily with sentences.
 
+    A limit of zero or less means the default, and one under ``floor`` the floor.
+
     ``strict`` is the second rule set: a floor of 400 characters and wrapped pieces that are
     never joined with what follows.
     """
+    limit = max(floor, limit if limit > 0 else MAX_CHARS)
     if strict:
         limit = max(STRICT_FLOOR, limit)
     normal = normalise_text(text)

@@ -18,12 +18,13 @@ def chunks(
     limit: int = MAX_CHARS,
     *,
     strict: bool = False,
+    floor: int = 0,
     key: str = "doc_id",
     text: str = "text",
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per chunk with its 1-based part number; a map step, no shuffle."""
-    pieces = chunk_text(F.col(text), limit, strict=strict)
+    pieces = chunk_text(F.col(text), limit, strict=strict, floor=floor)
     rows = documents.select(key, *keep, F.posexplode(pieces).alias("_at", "text"))
     return rows.select(
         key, *keep, (F.col("_at") + 1).alias("part_no"), "text", F.length("text").alias("n_chars")

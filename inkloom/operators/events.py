@@ -11,7 +11,9 @@ from __future__ import annotations
 import html as html_entities
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
+from html.entities import html5 as HTML5_NAMES
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -68,15 +70,27 @@ SIBLINGS = {
 }
 # ... unless one of these lies between.
 SCOPE_STOPS = frozenset("ol ul dl table select button caption td th html".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+# An end tag of a block does not reach out of these.
+BLOCK_SCOPE = frozenset("applet caption html table td th marquee object template".split())
+P_SCOPE = BLOCK_SCOPE | {"button"}
+TABLE_PARTS = frozenset("table tbody thead tfoot tr td th caption colgroup".split())
+# Any other end tag does not reach out of these, nor a list item out of its list's blocks.
+SPECIAL = CLOSES_P | BLOCK_SCOPE | TABLE_PARTS | frozenset("body button head iframe select".split())
+ITEM_STOPS = {
+    kind: SPECIAL - frozenset(("address", "div", "p", *SIBLINGS[kind])) for kind in ("li", "dd", "dt")
+}
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>
+    r"""<!--|<[!?][^>]*>
     |</(?P<close>[a-zA-Z][^\s/>]*)[^>]*>
     |<(?P<open>[a-zA-Z][^\s/>]*)
      (?P<attrs>[^>"']*+(?:(?:(?<=[=\s])(?:"[^"]*"|'[^']*')|["'])[^>"']*+)*+)>
     |<(?P<plain>[a-zA-Z][^\s/>]*)(?P<rest>[^>]*)>""",
     re.S | re.X,
 )
+_COMMENT_END = re.compile(r"(?<=<!--)-?>|--!?>")
+_REFERENCE = re.compile(r"&(?:#[xX]?[0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;?)")
 _UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
 _ATTR = re.compile(r"""([^\s"'<>/=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
 
@@ -98,7 +112,10 @@ class _Events:
     def start_page(self) -> None:
         self.base = self.page_offsets[-1]
         self.stack: list[list] = []  # [index, tag, noise, anchor, formatting entry or None]
-        self.active: list[list] = []  # [tag, attributes, is open]
+        self.active: list[list] = []  # [tag, attributes, is open, place in the stack]
+        self.alike: dict[tuple, list[list]] = {}  # the active ones by tag and attributes
+        self.open_tags: Counter = Counter()
+        self.open_p = [0]  # open paragraphs within each scope of the stack
         self.size = 0
         self.in_body = False
 
@@ -118,6 +135,11 @@ class _Events:
 
     def _pop(self) -> None:
         index, tag, noise, anchor, entry = self.stack.pop()
+        self.open_tags[tag] -= 1
+        if tag in P_SCOPE:
+            self.open_p.pop()
+        elif tag == "p":
+            self.open_p[-1] -= 1
         if entry is not None:
             entry[2] = False
         self.ends[self.base + index] = self.size
@@ -125,6 +147,8 @@ class _Events:
 
     def _pop_to(self, tags: Sequence[str], stops: frozenset[str] = frozenset()) -> None:
         """Close up to and including the nearest open element of one of ``tags``."""
+        if not any(self.open_tags[tag] > 0 for tag in tags):
+            return
         for at in range(len(self.stack) - 1, -1, -1):
             if self.stack[at][1] in tags:
                 while len(self.stack) > at:
@@ -148,7 +172,18 @@ class _Events:
         index = self.size
         self._emit(OPEN, noise, anchor, tag)
         if tag not in VOID:
+            if entry is not None:
+                entry[3] = len(self.stack)
             self.stack.append([index, tag, noise, anchor, entry])
+            self.open_tags[tag] += 1
+            if tag in P_SCOPE:
+                self.open_p.append(0)
+            elif tag == "p":
+                self.open_p[-1] += 1
+
+    def _close_p(self) -> None:
+        if self.open_p[-1] > 0:
+            self._pop_to(("p",), P_SCOPE)
 
     def _enter_body(self) -> None:
         if not self.in_body:
@@ -169,16 +204,24 @@ class _Events:
     def _close_formatting(self, tag) -> None:
         for entry in reversed(self.active):
             if entry[0] == tag:
-                self.active.remove(entry)
+                self._forget(entry)
                 if entry[2]:
-                    above = [item for item in self.stack if item[4] is entry]
-                    at = self.stack.index(above[0])
+                    at = entry[3]
                     # A block in between keeps the element open until the block closes.
                     if all(item[1] not in CLOSES_P for item in self.stack[at + 1 :]):
                         while len(self.stack) > at:
                             self._pop()
                 return
 
+    def _forget(self, entry: list) -> None:
+        """Takes an entry off the active list; entries are told by identity, newest first."""
+        at = len(self.active) - 1
+        while self.active[at] is not entry:
+            at -= 1
+        del self.active[at]
+        same = self.alike[_kind(entry)]
+        del same[next(k for k, old in enumerate(same) if old is entry)]
+
     def text(self, raw: str, decode: bool = True) -> None:
         if not raw:
             return
@@ -214,19 +257,24 @@ class _Events:
         else:
             self._enter_body()
         if tag in CLOSES_P:
-            self._pop_to(("p",), SCOPE_STOPS)
-        if tag in SIBLINGS:
+            self._close_p()
+        if tag in ITEM_STOPS:
+            self._pop_to(SIBLINGS[tag], ITEM_STOPS[tag])
+        elif tag in SIBLINGS:
             for kind in SIBLINGS[tag]:
                 self._pop_to((kind,), SCOPE_STOPS - {kind})
+        elif tag in HEADINGS and self.stack[-1][1] in HEADINGS:
+            self._pop()
         if tag in FORMATTING:
             if tag == "a":
                 self._close_formatting("a")
             self._reopen_formatting()
-            entry = [tag, attrs, True]
-            same = [old for old in self.active if old[0] == tag and old[1] == attrs]
+            entry = [tag, attrs, True, -1]
+            same = self.alike.setdefault(_kind(entry), [])
             if len(same) >= 3:  # the standard keeps at most three alike
-                self.active.pop(next(k for k, old in enumerate(self.active) if old is same[0]))
+                self._forget(same[0])
             self.active.append(entry)
+            same.append(entry)
             self._push(tag, attrs, entry)
             return
         if tag not in CLOSES_P and tag not in HEAD_ONLY and tag not in SIBLINGS:
@@ -241,9 +289,17 @@ class _Events:
         elif tag in FORMATTING:
             self._close_formatting(tag)
         elif tag == "p":
-            self._pop_to(("p",), SCOPE_STOPS)
-        else:
+            self._close_p()
+        elif tag in HEADINGS:
+            self._pop_to(HEADINGS, BLOCK_SCOPE)
+        elif tag == "li":
+            self._pop_to(("li",), BLOCK_SCOPE | {"ol", "ul"})
+        elif tag in CLOSES_P or tag in SIBLINGS:
+            self._pop_to((tag,), BLOCK_SCOPE - TABLE_PARTS if tag in TABLE_PARTS else BLOCK_SCOPE)
+        elif tag in SPECIAL:
             self._pop_to((tag,))
+        else:
+            self._pop_to((tag,), SPECIAL)
 
     def to_arrow(self) -> pa.Array:
         attrs = pa.MapArray.from_arrays(
@@ -263,21 +319,41 @@ class _Events:
 _CLASS_NOISE = frozenset(NOISE_CLASSES)
 
 
+def _kind(entry: list) -> tuple:
+    return entry[0], tuple(entry[1])
+
+
+def _decoded(value: str) -> str:
+    """Character references in an attribute: a name without ``;`` stays before ``=``."""
+
+    def one(found: re.Match) -> str:
+        name = found.group()[1:]
+        if name[0] == "#":
+            return html_entities.unescape(found.group())
+        text = HTML5_NAMES.get(name)
+        if text is None or (name[-1] != ";" and value[found.end() : found.end() + 1] == "="):
+            return found.group()
+        return text
+
+    return _REFERENCE.sub(one, value)
+
+
 def _attributes(source: str) -> list[tuple[str, str]]:
     found: dict[str, str] = {}
     for name, double, single, bare in _ATTR.findall(source):
         value = double or single or bare
-        found.setdefault(name.lower(), html_entities.unescape(value) if "&" in value else value)
+        found.setdefault(name.lower(), _decoded(value) if "&" in value else value)
     return list(found.items())
 
 
 def add_page(events: _Events, page: str) -> None:
-    """Feed one page; a missing page counts as an empty one."""
-    page = (page or "").removeprefix("\ufeff")
+    """Feed one page; a missing page counts as an empty one. Line ends become newlines."""
+    page = (page or "").removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
     events.start_page()
-    at = 0
+    at, upto = 0, page.rfind(">") + 1
     while True:
-        token = _TOKEN.search(page, at)
+        # Behind the last ">" no tag ends, so nothing is looked for there again and again.
+        token = _TOKEN.search(page, at, upto)
         if token is None:
             # A tag the page ends in the middle of is dropped.
             cut = _UNFINISHED.search(page, at)
@@ -285,6 +361,10 @@ def add_page(events: _Events, page: str) -> None:
             break
         events.text(page[at : token.start()])
         at = token.end()
+        if token.group() == "<!--":
+            end = _COMMENT_END.search(page, at) if at < upto else None
+            at = end.end() if end else len(page)
+            continue
         name = token["open"] or token["plain"]
         if name:
             tag, source = name.lower(), token["attrs"] or token["rest"]

@@ -14,6 +14,8 @@ PAGE_SCHEMA = T.StructType(
         T.StructField("page_id", T.LongType()),
         T.StructField("url", T.StringType()),
         T.StructField("html", T.StringType()),
+        # Null where the captures have no status.
+        T.StructField("status", T.IntegerType()),
     ]
 )
 

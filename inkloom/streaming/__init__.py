@@ -12,7 +12,13 @@ from inkloom.functions.sentences import MAX_CHARS
 from inkloom.operators.chunks import chunks
 from inkloom.operators.extract import chapters
 from inkloom.sources.pages import PAGE_SCHEMA
-from inkloom.sources.texts import TEXT_FILES, drop_broken_bytes
+from inkloom.sources.texts import (
+    TEXT_FILES,
+    directly_in,
+    drop_broken_bytes,
+    file_path,
+    refuse_hidden,
+)
 
 
 def page_stream(
@@ -30,15 +36,19 @@ def stream_chapters(
 
 
 def text_stream(spark: SparkSession, folder: str, *, recursive: bool = False) -> DataFrame:
-    """Whole text files as they arrive."""
+    """Whole text files as they arrive, with the paths that ``text_inputs`` gives.
+
+    Text files of hidden names that are there at the start are an error.
+    """
+    refuse_hidden(spark, folder, recursive)
     files = (
-        spark.readStream.option("recursiveFileLookup", recursive)
+        spark.readStream.option("recursiveFileLookup", True)
         .option("pathGlobFilter", TEXT_FILES)
         .text(folder, wholetext=True)
     )
-    return files.select(
-        F.col("_metadata.file_path").alias("path"), drop_broken_bytes(F.col("value")).alias("text")
-    )
+    if not recursive:
+        files = files.filter(directly_in(spark, folder))
+    return files.select(file_path().alias("path"), drop_broken_bytes(F.col("value")).alias("text"))
 
 
 def document_stream(

@@ -70,16 +70,16 @@ def concat_arrays(spark, sf_dir) -> DataFrame:
     return arrays.joined_samples(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
 
 
-FIRST_WORDS = "concat(split_part(text, ' ', 1), ' ', lang)"
+TEXT_AND_LANG = "concat(text, ' ', lang)"
 
 
 @query(
     "slug_collisions",
-    f"""SELECT slug, count(*) AS inputs FROM (SELECT {sql_slug(FIRST_WORDS)} AS slug FROM documents)
+    f"""SELECT slug, count(*) AS inputs FROM (SELECT {sql_slug(TEXT_AND_LANG)} AS slug FROM documents)
     GROUP BY slug HAVING count(*) > 1""",
 )
 def slug_collisions(spark, sf_dir) -> DataFrame:
-    named = table(spark, sf_dir, "documents").select(slugify(F.expr(FIRST_WORDS)).alias("slug"))
+    named = table(spark, sf_dir, "documents").select(slugify(F.expr(TEXT_AND_LANG)).alias("slug"))
     return audits.slug_collisions(named)
 
 

@@ -25,8 +25,22 @@ def _documents(spark, sf_dir, **columns: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *named)
 
 
-def _pages(spark, sf_dir, html: str) -> DataFrame:
-    pages = _documents(spark, sf_dir, html=html)
+# Every document twice: with its source, which picks a canned case, and without, so that its own
+# whole text is used.
+CASES = """WITH cases AS (SELECT 2 * doc_id AS doc_id, text, lang, source FROM documents
+  UNION ALL SELECT 2 * doc_id + 1, text, lang, 'own' FROM documents) """
+
+
+def _cases(spark, sf_dir, **columns: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    canned = docs.select((2 * F.col("doc_id")).alias("doc_id"), "text", "lang", "source")
+    own = docs.select((2 * F.col("doc_id") + 1).alias("doc_id"), "text", "lang", F.lit("own").alias("source"))
+    named = [F.expr(sql).alias(name) for name, sql in columns.items()]
+    return canned.unionByName(own).select("doc_id", *named)
+
+
+def _pages(spark, sf_dir, html: str, rows=_documents) -> DataFrame:
+    pages = rows(spark, sf_dir, html=html)
     return pages.select(F.col("doc_id").alias("page_id"), F.lit("https://site.example/").alias("url"), "html")
 
 
@@ -60,13 +74,13 @@ NAV_PAGE = f"""concat('<html><body><article><h1>T</h1><p> <a href="/n">', {LINK_
 
 @query(
     "nav_only_block",
-    f"""SELECT doc_id, lang <> 'de' AND (regexp_matches(label, '^(prev(ious)?|next)(\\s+(chapter|page))?$')
+    f"""{CASES} SELECT doc_id, lang <> 'de' AND (regexp_matches(label, '^(prev(ious)?|next)(\\s+(chapter|page))?$')
       OR label IN ('', '>>', '<<', 'next', 'prev', 'previous', 'next chapter', 'next page',
                    'previous chapter')) AS nav_only
-    FROM (SELECT *, {sql_label(LINK_LABEL)} AS label FROM documents)""",
+    FROM (SELECT *, {sql_label(LINK_LABEL)} AS label FROM cases)""",
 )
 def nav_only_block(spark, sf_dir) -> DataFrame:
-    events = page_events(_pages(spark, sf_dir, NAV_PAGE), keep_attrs=extract.kept_attributes(DEFAULT))
+    events = page_events(_pages(spark, sf_dir, NAV_PAGE, _cases), keep_attrs=extract.kept_attributes(DEFAULT))
     block = F.get("candidates", F.lit(0))
     return extract.page_candidates(events).select(
         F.col("page_id").alias("doc_id"), block["skip"].alias("nav_only")
@@ -80,12 +94,12 @@ BREAK_TEXT = """CASE source WHEN 'src0' THEN '***' WHEN 'src1' THEN '* * *' WHEN
 
 @query(
     "is_scene_break",
-    f"""SELECT doc_id, {sql_trim('t')} <> '' AND regexp_matches(t, '{SCENE}') AS is_break
-    FROM (SELECT doc_id, {BREAK_TEXT} AS t FROM documents)""",
+    f"""{CASES} SELECT doc_id, {sql_trim('t')} <> '' AND regexp_matches(t, '{SCENE}') AS is_break
+    FROM (SELECT doc_id, {BREAK_TEXT} AS t FROM cases)""",
 )
 def is_scene_break(spark, sf_dir) -> DataFrame:
     hit = markup.is_scene_break(F.col("t"), DEFAULT.scene_break_patterns)
-    return _documents(spark, sf_dir, t=BREAK_TEXT).select("doc_id", hit.alias("is_break"))
+    return _cases(spark, sf_dir, t=BREAK_TEXT).select("doc_id", hit.alias("is_break"))
 
 
 STYLE = "CASE lang WHEN 'en' THEN 'hr' WHEN 'fr' THEN 'Spacer' WHEN 'de' THEN 'NONE' ELSE source END"
@@ -183,19 +197,48 @@ LINK_PAGE = f"""concat('<html><head>', {HEAD_LINK}, '</head><body>',
 
 @query(
     "next_link",
-    """SELECT doc_id, CASE WHEN lang = 'fr' THEN '/rel' WHEN source = 'src0' THEN '/second'
+    CASES + """SELECT doc_id, CASE WHEN lang = 'fr' THEN '/rel' WHEN source = 'src0' THEN '/second'
       WHEN source = 'src1' THEN '/fuzzy' WHEN source = 'src2' THEN NULL WHEN source = 'src3' THEN '/arrow'
       WHEN source = 'src4' THEN '/shown' WHEN regexp_matches(text, '(?i)next') THEN '/text' END AS next_href
-    FROM documents""",
+    FROM cases""",
 )
 def next_link(spark, sf_dir) -> DataFrame:
     """Every rule of the next link: relation, exact label, loose label, and what noise hides."""
-    events = page_events(_pages(spark, sf_dir, LINK_PAGE), keep_attrs=extract.kept_attributes(DEFAULT))
+    events = page_events(_pages(spark, sf_dir, LINK_PAGE, _cases), keep_attrs=extract.kept_attributes(DEFAULT))
     live = extract.live_events(extract.rooted_events(events))
     href = extract.next_href(F.col("opens"), F.col("live"), F.col("root"))
     return live.select(F.col("page_id").alias("doc_id"), href.alias("next_href"))
 
 
+# Line ends of another system, a heading closed by another, end tags out of place, a comment that
+# ends at once, and a parameter that begins like a character reference.
+RULES_PAGE = f"""concat('<html><body><article><h1>', source, '</h2><p>', replace({ESCAPED}, chr(10), chr(13) || chr(10)),
+  '</p><!--><span><p>in</span>side</p></span><table><tr><td>cell</article></td></tr></table>',
+  '<ul><li>a<blockquote><li>b</blockquote><li>c</ul><a href="/c?b=5&section=', source, '&copy=1&amp;z">next</a>',
+  '</article></body></html>')"""
+
+
+@query(
+    "tree_rules",
+    """SELECT doc_id, source || '|' || replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))
+        || '|in|side|cell|a|b|c|next' AS texts,
+      'html,body,article,h1,p,span,p,table,tr,td,ul,li,blockquote,li,li,a' AS tags,
+      '/c?b=5&section=' || source || '&copy=1&z' AS href
+    FROM documents""",
+)
+def tree_rules(spark, sf_dir) -> DataFrame:
+    """The tree of broken markup around every whole text."""
+    events = page_events(_pages(spark, sf_dir, RULES_PAGE), keep_attrs=["href"])
+    of = lambda kind: F.filter("events", lambda e: e["kind"] == kind)
+    link = F.element_at(F.filter("events", lambda e: e["tag"] == "a"), 1)
+    return events.select(
+        F.col("page_id").alias("doc_id"),
+        F.array_join(F.transform(of("text"), lambda e: e["text"]), "|").alias("texts"),
+        F.array_join(F.transform(of("open"), lambda e: e["tag"]), ",").alias("tags"),
+        link["attrs"]["href"].alias("href"),
+    )
+
+
 MARKUP = f"""concat('<blockquote><p><strong>', replace({ESCAPED}, chr(10), '</strong></p><p><strong>'),
   '</strong></p></blockquote>{RULE_BREAK}<hr/><em>', source, '</em>')"""
 

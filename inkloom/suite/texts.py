@@ -108,8 +108,8 @@ def clean_tag_list(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tags, "|").alias("tags"))
 
 
-# A path per document, with and without an extension, from its source and first words.
-PATH = "concat('in/', source, '/', split_part(text, '.', 1), CASE WHEN lang = 'en' THEN '.TXT' ELSE '' END)"
+# A path per document, with and without an extension, from its source and whole text.
+PATH = "concat('in/', source, '/', text, CASE WHEN lang = 'en' THEN '.TXT' ELSE '' END)"
 
 
 @query(
@@ -216,15 +216,18 @@ chunks AS (
 )"""
 
 
-def _chunk_query(name: str, limit: int, strict: bool = False):
-    ctes = chunk_ctes(limit, strict)
+def _chunk_query(name: str, limit: int, strict: bool = False, floor: int = 0):
+    # No limit means the usual one.
+    ctes = chunk_ctes(max(floor, limit or 1800), strict)
 
     @query(name, f"WITH RECURSIVE {ctes} SELECT doc_id, part_no, text, n_chars FROM chunks")
     def run(spark, sf_dir) -> DataFrame:
-        return ops.chunks(table(spark, sf_dir, "documents"), limit, strict=strict)
+        return ops.chunks(table(spark, sf_dir, "documents"), limit, strict=strict, floor=floor)
 
 
 _chunk_query("chunk_text", 1800)
+_chunk_query("chunk_text_no_limit", 0)
+_chunk_query("chunk_text_floor", 50, floor=400)
 _chunk_query("chunk_text_short", 400)
 _chunk_query("chunk_text_strict", 1800, strict=True)
 _chunk_query("chunk_text_strict_floor", 400, strict=True)

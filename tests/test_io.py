@@ -18,15 +18,50 @@ def test_text_inputs(spark, tmp_path):
     (tmp_path / "a b+c.txt").write_text("two\nlines\n")
     (tmp_path / "c.md").write_text("no")
     (tmp_path / "sub" / "d.txt").write_text("deep")
-    flat = text_inputs(spark, str(tmp_path)).collect()
+    (tmp_path / "year=2024").mkdir()
+    (tmp_path / "year=2024" / "e.txt").write_text("deep too")
+    flat = sorted(text_inputs(spark, str(tmp_path)).collect())
     assert [r.path.rsplit("/", 1)[1] for r in flat] == ["a b+c.txt", "b.TXT"]
     assert [r.text for r in flat] == ["two\nlines\n", "bad  byte, kept �"]
-    assert text_inputs(spark, str(tmp_path), recursive=True).count() == 3
+    assert text_inputs(spark, str(tmp_path), recursive=True).count() == 4
     assert text_inputs(spark, str(tmp_path / "b.TXT")).count() == 1
     with pytest.raises(ValueError):
         text_inputs(spark, str(tmp_path / "c.md"))
 
 
+def test_stream_paths_equal_batch_paths(spark, tmp_path):
+    folder = tmp_path / "in"
+    (folder / "sub").mkdir(parents=True)
+    for name in ("d e.txt", "a%20b.TXT", "c+d.txt", "sub/f.txt"):
+        (folder / name).write_text(name)
+    out, point = str(tmp_path / "out"), str(tmp_path / "point")
+    stream_chunks(text_stream(spark, str(folder)), out, point).awaitTermination()
+    streamed = sorted((r.path, r.text) for r in spark.read.parquet(out).collect())
+    assert streamed == sorted((r.path, r.text) for r in text_inputs(spark, str(folder)).collect())
+    assert [p.rsplit("/", 1)[1] for p, _ in streamed] == sorted(["d e.txt", "a%20b.TXT", "c+d.txt"])
+
+
+@pytest.mark.parametrize("name", ["_x.txt", ".x.TXT", "_sub/x.txt"])
+def test_hidden_text_files_are_refused(spark, tmp_path, name):
+    (tmp_path / "_sub").mkdir()
+    (tmp_path / "a.txt").write_text("a")
+    (tmp_path / name).write_text("hidden")
+    for read in (text_inputs, text_stream):
+        with pytest.raises(ValueError, match="x"):
+            read(spark, str(tmp_path), recursive=True)
+
+
+def test_stream_rejects_error_pages_like_the_batch(spark, tmp_path):
+    html = "<html><body><article><h1>T</h1><p>" + "long enough text " * 9 + "</p></article></body></html>"
+    rows = [(1, "http://a/1", html, 200), (2, "http://a/2", html, 404), (3, "http://a/3", html, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, status int")
+    pages.write.parquet(str(tmp_path / "pages"))
+    out, point = str(tmp_path / "out"), str(tmp_path / "point")
+    stream_chapters(page_stream(spark, str(tmp_path / "pages")), out, point).awaitTermination()
+    assert sorted(spark.read.parquet(out).collect()) == sorted(chapters(pages).collect())
+    assert sorted(r.page_id for r in spark.read.parquet(out).collect()) == [1, 3]
+
+
 def test_book_text_files(spark, tmp_path):
     lines = spark.range(1, 41).select(
         F.concat(F.lit("b"), F.col("id") % 2).alias("book_id"), F.col("id").alias("chapter_no"),
