@@ -30,6 +30,7 @@ UNTITLED = "Untitled Chapter"
 class ExtractConfig:
     """How a page becomes a chapter; override with :meth:`but`."""
 
+    # The default selectors, link texts, patterns and limits.
     selectors: tuple[str, ...] = (
         "article .entry-content",
         ".entry-content",

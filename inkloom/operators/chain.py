@@ -18,8 +18,19 @@ def page_edges(pages: DataFrame, href: str = "next_href") -> DataFrame:
     return settle(pages, ["url"], next_url=target)
 
 
+def latest_captures(captures: DataFrame, *columns: str) -> DataFrame:
+    """One row per ``url``: the capture of the largest ``page_id``, with the named columns.
+
+    A table of captures may hold a page many times, a walk may not. Read it thin: only the
+    columns named here are grouped.
+    """
+    latest = F.max_by(F.struct("page_id", *columns), F.col("page_id")).alias("_latest")
+    return captures.groupBy("url").agg(latest).select("url", "_latest.*")
+
+
 def next_edges(edges: DataFrame, **tuning) -> DataFrame:
     """Every edge with ``target_found``: whether the next page exists (null without a link)."""
+    edges = cut_lineage(edges.select("url", "next_url"))
     known = edges.select(F.col("url").alias("next_url"), F.lit(True).alias("_known"))
     joined = lookup_join(edges, known, "next_url", spread=["url"], **tuning)
     found = F.when(F.col("next_url").isNotNull(), F.col("_known").isNotNull())
@@ -28,6 +39,8 @@ def next_edges(edges: DataFrame, **tuning) -> DataFrame:
 
 def dangling_next(edges: DataFrame, **tuning) -> DataFrame:
     """Edges whose target is not among the pages."""
+    # Both sides and the search for hot targets read the edges: they are made once.
+    edges = cut_lineage(edges.select("url", "next_url"))
     linked = edges.filter(F.col("next_url").isNotNull())
     # Each missing target is looked for once, however many pages point at it.
     targets = linked.select("next_url").distinct()
@@ -49,15 +62,17 @@ def crawl_many(
 ) -> DataFrame:
     """Walk from every ``start_url``: ``(start_url, seq, url)`` with ``seq`` from 0.
 
-    ``edges`` holds every page once (``url`` is unique) with its ``next_url`` or null.
+    ``edges`` holds the pages with their ``next_url`` or null. Of rows that repeat a ``url`` the
+    one with the largest ``next_url`` counts; :func:`latest_captures` chooses by capture.
 
     Walks double: a round joins what has been walked with links of 1, 2, 4 ... pages, so
     ``max_pages`` takes log2 rounds rather than one join per page. Loops repeat pages up to
-    ``max_pages`` unless ``stop_on_cycle``. Each round is written to the shared checkpoint
+    ``max_pages`` unless ``stop_on_cycle``: then what a round repeats is left out of the next, and
+    a walk that is all loop ends the rounds early. Each round is written to the shared checkpoint
     folder, which keeps plans small and lets lost executors resume.
     """
     limit = max(1, max_pages)
-    edges = cut_lineage(edges)
+    edges = cut_lineage(edges.groupBy("url").agg(F.max("next_url").alias("next_url")))
     known = edges.select(F.col("url").alias("next_url"), F.lit(True).alias("_known"))
     jumps = cut_lineage(
         lookup_join(
@@ -92,6 +107,10 @@ def crawl_many(
             .select("start_url", (F.col("seq") + step).alias("seq"), F.col("target").alias("url"))
             .filter(F.col("seq") < limit)
         )
+        if stop_on_cycle:
+            fresh = added.groupBy("start_url", "url").agg(F.min("seq").alias("seq"))
+            fresh = fresh.join(walked.select("start_url", "url"), ["start_url", "url"], "left_anti")
+            added = cut_lineage(fresh.select("start_url", "seq", "url"))
         added_rows = added.count()
         if added_rows == 0:
             break
@@ -110,15 +129,16 @@ def crawl_many(
                 ).select("url", F.col("_next").alias("target"))
             )
             jump_rows = jumps.count()
-    if stop_on_cycle:
-        walked = walked.groupBy("start_url", "url").agg(F.min("seq").alias("seq"))
-        walked = walked.select("start_url", "seq", "url")
     return walked
 
 
-def chain_chapters(walk: DataFrame, chapters: DataFrame, **tuning) -> DataFrame:
-    """Chapters of every walk in order: ``book_id`` is the start page, ``seq`` counts from 1."""
-    joined = lookup_join(walk, chapters, "url", spread=["start_url", "seq"], how="inner", **tuning)
+def chain_chapters(walk: DataFrame, chapters: DataFrame, on: str = "url", **tuning) -> DataFrame:
+    """Chapters of every walk in order: ``book_id`` is the start page, ``seq`` counts from 1.
+
+    ``on`` tells a chapter: its ``url``, or the ``page_id`` of the capture that a walk names.
+    """
+    wanted = chapters.select(*[name for name in chapters.columns if name == on or name not in walk.columns])
+    joined = lookup_join(walk, wanted, on, spread=["start_url", "seq"], how="inner", **tuning)
     others = [name for name in chapters.columns if name != "url"]
     return joined.select(
         F.col("start_url").alias("book_id"), (F.col("seq") + 1).alias("seq"), "url", *others

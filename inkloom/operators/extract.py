@@ -23,6 +23,7 @@ BLOCK_TAGS = ("p", "li", "blockquote", "hr")
 # Fixed value: labels that make a link a page-to-page link whatever the settings.
 NAV_LABEL = r"^(?:prev(?:ious)?|next)(?:\s+(?:chapter|page))?\z"
 
+# The reasons of rejected pages.
 TOO_SHORT = "chapter too short"
 NO_CONTENT = "content node not found"
 

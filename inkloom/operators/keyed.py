@@ -76,11 +76,16 @@ def running_sum(
 ) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over earlier rows of the same keys.
 
-    ``order`` is an integer, unique per key. It is cut into blocks of at most ``block`` rows;
-    rows are windowed per block and only one total per block is windowed per key, so no task
-    ever sorts a whole hot key. ``frame`` is read twice: hand in a stored table or a cheap plan.
+    ``order`` is an integer, unique per key. It is cut into ranges that hold ``block`` rows of
+    all keys on average, or fewer, however sparse it is: their width follows from its least and
+    largest value and the number of rows. Rows are windowed per range and only one total per
+    range is windowed per key, so no task sorts a whole hot key. ``frame`` is read three times:
+    hand in a stored table or a cheap plan.
     """
-    cut = frame.withColumn("_block", F.floor(F.col(order) / F.lit(block))).withColumn(
+    rows, low, high = frame.agg(F.count(F.lit(1)), F.min(order), F.max(order)).first()
+    width = max(1, ((high or 0) - (low or 0) + 1) * block // max(1, rows))
+    from_low = F.col(order).cast("decimal(20,0)") - F.lit(low or 0).cast("decimal(20,0)")
+    cut = frame.withColumn("_block", F.floor(from_low / F.lit(width).cast("decimal(20,0)"))).withColumn(
         "_value", value
     )
     totals = cut.groupBy(*keys, "_block").agg(F.sum("_value").alias("_total"))

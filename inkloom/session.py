@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,7 +30,8 @@ def build_session(app: str = "inkloom", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """The folder named in ``spark.checkpoint.dir``; one of its own only where that is unset and
+    driver and executors are one process, as in tests."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
@@ -38,7 +40,7 @@ def shared_folder(spark: SparkSession) -> str:
         "spark.checkpoint.dir"
     )
     if not folder:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="inkloom-checkpoint-")
     context.setCheckpointDir(folder)

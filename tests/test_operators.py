@@ -159,3 +159,37 @@ def test_site_settings_and_scan(spark):
     overrides = spark.createDataFrame([("a.com", 800, None)], "host string, min_text_len int, scene_break_style string")
     got = {r.page_id: (r.host, r.min_text_len, r.scene_break_style, r.br_threshold) for r in site_settings(pages, overrides).collect()}
     assert got[1] == ("a.com", 800, "hr", 3) and got[2] == ("b.com", 50, "hr", 3)
+
+
+def test_running_sum_over_sparse_orders(spark):
+    rng = random.Random(8)
+    data = [("hot", rng.getrandbits(62) - (1 << 61), 1) for _ in range(3000)] + [("b", k * 10**15, 2) for k in range(50)]
+    frame = spark.createDataFrame(data, "k string, o bigint, v int")
+    summed = keyed.running_sum(frame, ["k"], "o", F.col("v"), "s", block=64)
+    got = {(r.k, r.o): r.s for r in summed.collect()}
+    before = 0
+    for k, o, v in sorted(data):
+        before = 0 if k == "b" and o == 0 else before
+        assert got[k, o] == before
+        before += v
+
+
+def test_repeated_captures_and_loops(spark):
+    rows = [("u0", "u1"), ("u1", "u2"), ("u2", None), ("u0", "u1"), ("u1", "u2"), ("u2", None), ("l", "l")]
+    edges = spark.createDataFrame(rows, "url string, next_url string")
+    starts = spark.createDataFrame([("u0",), ("l",)], "start_url string")
+    walked = rows_of(chain.crawl_many(edges, starts, 64, stop_on_cycle=True))
+    assert walked == [("l", 0, "l"), ("u0", 0, "u0"), ("u0", 1, "u1"), ("u0", 2, "u2")]
+    captures = spark.createDataFrame([(1, "u", "old"), (7, "u", "new"), (3, "v", None)], "page_id bigint, url string, next_href string")
+    assert rows_of(chain.latest_captures(captures, "next_href")) == [("u", 7, "new"), ("v", 3, None)]
+
+
+def rows_of(frame):
+    return sorted(tuple(r) for r in frame.collect())
+
+
+def test_edges_are_read_once_when_planned_from_pages(spark, tmp_path):
+    edges = spark.createDataFrame([("a", "b"), ("b", None), ("c", "zz")], "url string, next_url string")
+    assert rows_of(chain.dangling_next(edges)) == [("c", "zz")]
+    plan = chain.next_edges(edges)._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" not in plan and "Scan ExistingRDD" not in plan
