@@ -38,6 +38,8 @@ ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 12, 18, 16
 #: What can be a secret without a known shape.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 WORD = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
+#: Fewer different characters are a rule or a pattern, not a drawn string.
+MIN_DISTINCT = 8
 KINDS = ("assign", "access", "hex", "markov")
 Span = tuple[str, int, int]
 
@@ -99,7 +101,8 @@ class RandomnessModel:
             before = bisect_left(starts, end)
             if before and reach[before - 1] > start:
                 continue
-            if self.ratio(m.group()) > self.threshold:
+            token = m.group()
+            if len(set(token)) >= MIN_DISTINCT and self.ratio(token) > self.threshold:
                 found.append(("markov", start, end))
         return found
 
