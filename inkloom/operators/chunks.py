@@ -55,3 +55,37 @@ def document_report(documents: DataFrame, base: Column, status: Column, limit: i
     rows = documents.select("doc_id", base.alias("base"), count.alias("chunks"), status.alias("status"))
     entry = F.to_json(F.struct("doc_id", "base", "chunks", "status"))
     return rows.withColumn("entry", entry)
+
+
+def run_header(
+    report: DataFrame, *, voice: str, rate: int, speed: float, run_id: str | None = None
+) -> DataFrame:
+    """One row for a run: its settings and what its documents came to.
+
+    ``run_id`` joins it with the report's rows (see :func:`of_run`); by default it follows from
+    the settings, so that a repeated run has the same.
+    """
+    return report.agg(
+        F.count(F.lit(1)).alias("inputs"),
+        F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"),
+        F.count_if(F.col("status") != "ok").alias("not_ok"),
+    ).select(
+        _run_id(voice, rate, speed, run_id).alias("run_id"),
+        F.lit(voice).alias("voice"),
+        F.lit(rate).alias("rate"),
+        F.lit(speed).alias("speed"),
+        "inputs",
+        "chunks",
+        "not_ok",
+    )
+
+
+def of_run(
+    report: DataFrame, *, voice: str, rate: int, speed: float, run_id: str | None = None
+) -> DataFrame:
+    """The report's rows with the run they belong to."""
+    return report.select(_run_id(voice, rate, speed, run_id).alias("run_id"), *report.columns)
+
+
+def _run_id(voice: str, rate: int, speed: float, run_id: str | None) -> Column:
+    return F.lit(run_id) if run_id else F.md5(F.lit(f"{voice}|{rate}|{speed}"))

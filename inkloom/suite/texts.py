@@ -291,6 +291,20 @@ def document_report(spark, sf_dir) -> DataFrame:
     return ops.document_report(documents, base, status)
 
 
+RUN = {"voice": "af_heart", "rate": 24000, "speed": 1.0}
+
+
+@query(
+    "run_header",
+    f"""{PLAN_SQL} SELECT md5('af_heart|24000|1.0') AS run_id, 'af_heart' AS voice, 24000 AS rate,
+      1.0::DOUBLE AS speed, count(*) AS inputs, sum(chunks)::BIGINT AS chunks,
+      count(*) FILTER (chunks = 0) AS not_ok FROM plan""",
+)
+def run_header(spark, sf_dir) -> DataFrame:
+    """The head of a run's report; its rows carry the same run_id."""
+    return ops.run_header(document_report(spark, sf_dir), **RUN)
+
+
 @query(
     "quantise_i16",
     """SELECT vec_id, unnest(range(1, len(embedding) + 1))::INT AS at,
