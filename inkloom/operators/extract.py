@@ -111,28 +111,25 @@ def is_nav_label(label: Column, config: ExtractConfig = DEFAULT) -> Column:
     return label.rlike(NAV_LABEL) | label.isin(*known)
 
 
-def _nav_blocks(found: Column, live: Column, loose: Column, anchors: Column, config) -> Column:
-    """Indexes of the blocks that hold nothing but page-to-page links."""
+def _only_nav(block: Column, links: Column, loose: Column) -> Column:
+    """Whether a block holds nothing but page-to-page links.
 
-    def only_nav(block: Column) -> Column:
-        def within(anchor: Column) -> Column:
-            return (anchor["i"] > block["i"]) & (anchor["i"] < block["end"])
-
-        inside = F.slice(loose, block["i"] + 2, F.greatest(block["end"] - block["i"] - 1, F.lit(0)))
-        return (
-            block["tag"].isin("p", "li")
-            & F.exists(anchors, within)
-            & F.forall(anchors, lambda a: ~within(a) | a["nav"])
-            & F.forall(
-                inside,
-                lambda t: t["text"].isNull()
-                | (t["anchor"] > block["i"])
-                | (trim_ws(t["text"]) == ""),
-            )
+    ``links`` and ``loose`` have an entry per event, so what is inside is a slice: all blocks of a
+    page take time in proportion to its size.
+    """
+    start, length = block["i"] + 2, F.greatest(block["end"] - block["i"] - 1, F.lit(0))
+    within = F.slice(links, start, length)
+    return (
+        block["tag"].isin("p", "li")
+        & F.exists(within, lambda nav: nav.isNotNull())
+        & F.forall(within, lambda nav: F.coalesce(nav, F.lit(True)))
+        & F.forall(
+            F.slice(loose, start, length),
+            lambda t: t["text"].isNull()
+            | (t["anchor"] > block["i"])
+            | (trim_ws(t["text"]) == ""),
         )
-
-    hits = F.transform(F.filter(found, only_nav), lambda block: block["i"])
-    return F.when(F.size(anchors) > 0, hits).otherwise(F.array().cast("array<int>"))
+    )
 
 
 def wrap_block(tag: Column, inner: Column, config: ExtractConfig) -> Column:
@@ -217,10 +214,9 @@ def page_candidates(events: DataFrame, config: ExtractConfig = DEFAULT, keys=KEY
     """Every block element of the content root in order: tag, skip flag, text, inline markup."""
     root, opens, live = F.col("root"), F.col("opens"), F.col("live")
 
-    def anchor_row(anchor: Column) -> Column:
+    def is_nav(anchor: Column) -> Column:
         label = nav_label(inside_text(live, anchor))
-        nav = is_nav_label(trim_ws(label) if config.trim_nav_labels else label, config)
-        return F.struct(anchor["i"].alias("i"), anchor["end"].alias("end"), nav.alias("nav"))
+        return is_nav_label(trim_ws(label) if config.trim_nav_labels else label, config)
 
     def in_root(event: Column) -> Column:
         return (
@@ -232,8 +228,10 @@ def page_candidates(events: DataFrame, config: ExtractConfig = DEFAULT, keys=KEY
         [*keys, "opens", "root", "title", "live"],
         inline=F.transform("events", lambda e: _inline_piece(e, root)),
         loose=F.arrays_zip(live.alias("text"), F.col("events")["anchor"].alias("anchor")),
-        anchors=F.transform(
-            F.filter(opens, lambda e: (e["tag"] == "a") & in_root(e)), anchor_row
+        # Null where no link opens.
+        links=F.transform(
+            "events",
+            lambda e: F.when((e["kind"] == OPEN) & (e["tag"] == "a") & in_root(e), is_nav(e)),
         ),
         found=F.filter(opens, lambda e: e["tag"].isin(*BLOCK_TAGS) & in_root(e)),
     )
@@ -243,22 +241,16 @@ def page_candidates(events: DataFrame, config: ExtractConfig = DEFAULT, keys=KEY
             found,
             lambda b: ~F.exists("found", lambda o: (o["i"] < b["i"]) & (o["end"] > b["end"])),
         )
-    navs = settle(
-        ready,
-        [*keys, "opens", "root", "title", "live", "inline", "found"],
-        navs=_nav_blocks(found, live, F.col("loose"), F.col("anchors"), config),
-    )
-
     def candidate(block: Column) -> Column:
         return F.struct(
             block["tag"].alias("tag"),
-            F.array_contains("navs", block["i"]).alias("skip"),
+            _only_nav(block, F.col("links"), F.col("loose")).alias("skip"),
             words_joined(inside_text(live, block)).alias("words"),
             inside_text(F.col("inline"), block).alias("inner"),
         )
 
     return settle(
-        navs,
+        ready,
         [*keys, "root", "title"],
         candidates=F.coalesce(
             F.transform(found, candidate),
