@@ -236,16 +236,17 @@ def with_edits(docs: DataFrame) -> DataFrame:
     )
     pairs = cut_lineage(_followed(keys))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
-    # The texts are dealt by (id, code) once; both joins read that exchange.
+    # The texts are dealt by (id, code) once; both joins read that exchange, so both read doc_id.
     ahead = pairs.toDF("own_id", "own_code", "n_chars", "id", "code")
     heads = with_sum(rows.join(ahead, ["id", "code"]), "text", "next_sum")
     heads = (
         heads.select(
             F.col("own_id").alias("id"), F.col("own_code").alias("code"), "n_chars",
             F.substring("text", F.lit(1), quarter).alias("head"), "next_sum",
+            F.col("doc_id").alias("next_id"),
         )
         .groupBy("id", "code")
-        .agg(F.min(F.struct("n_chars", "head", "next_sum")).alias("next"))
+        .agg(F.min(F.struct("n_chars", "next_id", "head", "next_sum")).alias("next"))
     )
     joined = rows.join(heads, ["id", "code"]).select(
         "doc_id", "text", "next.n_chars", "next.head", "next.next_sum"
