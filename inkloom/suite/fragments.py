@@ -239,6 +239,51 @@ def tree_rules(spark, sf_dir) -> DataFrame:
     )
 
 
+# Pages without a heading or a title, and roots that only later rules find.
+BRANCH_HEAD = "CASE WHEN lang = 'en' THEN concat('Head ', source) ELSE '' END"
+BRANCH_META = """CASE WHEN lang = 'fr' THEN '' ELSE concat('<meta property="og:title" content="Meta ', source, '">') END"""
+BRANCH_ROOT = f"""CASE WHEN source IN ('src0', 'src1') THEN concat('<article>before<div class="entry-content">', {ESCAPED}, '</div></article>')
+  WHEN source IN ('src2', 'src3') THEN concat('<div class="post-content">', {ESCAPED}, '</div><article>later</article>')
+  WHEN source IN ('src4', 'src5') THEN concat('<div class="box content">', {ESCAPED}, '</div>')
+  WHEN source IN ('src6', 'src7') THEN concat('<div id="content">', {ESCAPED}, '</div>')
+  ELSE {ESCAPED} END"""
+BRANCH_PAGE = f"""concat('<html><head>', {BRANCH_META}, '</head><body><h1>', {BRANCH_HEAD}, '</h1><div>outer</div>',
+  {BRANCH_ROOT}, '<div>tail</div></body></html>')"""
+UNIX = "replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+
+
+@query(
+    "page_branches",
+    f"""SELECT doc_id, CASE WHEN lang = 'en' THEN 'Head ' || source WHEN lang = 'fr' THEN 'Untitled Chapter'
+      ELSE 'Meta ' || source END AS title,
+      CASE WHEN source IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7') THEN {UNIX}
+      ELSE {BRANCH_HEAD} || 'outer' || {UNIX} || 'tail' END AS words
+    FROM documents""",
+)
+def page_branches(spark, sf_dir) -> DataFrame:
+    """Title and content root by every rule, with the whole text inside."""
+    events = page_events(_pages(spark, sf_dir, BRANCH_PAGE), keep_attrs=extract.kept_attributes(DEFAULT))
+    live = extract.live_events(extract.rooted_events(events))
+    words = extract.inside_text(F.col("live"), F.col("root"))
+    return live.select(F.col("page_id").alias("doc_id"), "title", words.alias("words"))
+
+
+STATUS = "CASE WHEN source = 'src1' THEN 404 WHEN source = 'src2' THEN 503 WHEN source = 'src3' THEN 200 END"
+STATUS_PAGE = f"concat('<article><p>', repeat('long ', 20), {ESCAPED}, '</p></article>')"
+
+
+@query(
+    "status_rejects",
+    f"""SELECT doc_id AS page_id, 'https://site.example/' AS url, 'http status ' || {STATUS} AS reject_reason
+    FROM documents WHERE {STATUS} >= 400""",
+)
+def status_rejects(spark, sf_dir) -> DataFrame:
+    """Captures of error pages, whatever their text."""
+    pages = _documents(spark, sf_dir, html=STATUS_PAGE, status=STATUS)
+    url = F.lit("https://site.example/").alias("url")
+    return extract.rejects(pages.select(F.col("doc_id").alias("page_id"), url, "html", "status"))
+
+
 MARKUP = f"""concat('<blockquote><p><strong>', replace({ESCAPED}, chr(10), '</strong></p><p><strong>'),
   '</strong></p></blockquote>{RULE_BREAK}<hr/><em>', source, '</em>')"""
 
