@@ -87,6 +87,9 @@ BROADCAST_ROWS = 50_000
 #: How a node stands to the article: no part of it, unknown, or inside main content.
 NOISE, PLAIN, MAIN = 0, 1, 2
 
+#: What a row of ``style_counts`` tells of.
+WHOLE, TEXT, ORDER, WAY = range(4)
+
 
 @dataclass(frozen=True)
 class Block:
@@ -293,32 +296,34 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def style_counts(pages: DataFrame) -> DataFrame:
-    """(host, path, item, page, n, above): what pages show, counted within each batch of rows.
+    """(host, path, item, page, kind, above): what each page shows, once a page in every batch.
 
-    A content row has ``page``, a hash of all texts of the page; a presentation row has none. Of
-    each path one row a batch has ``above``, the branches it lies in.
+    ``page`` is a hash of all texts of the page, so copies are one page; ``item`` is a text or an
+    order of children by ``kind``. Every page has one row of kind ``WHOLE``. Of each path one row
+    a batch, of kind ``WAY``, has ``above``, the branches it lies in.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            content: list[tuple] = []
-            shown: Counter = Counter()
+            shown: dict[tuple, None] = {}
             ways: dict[tuple[str, int], tuple[int, ...]] = {}
             for host, source in zip(batch["host"], batch["html"], strict=True):
                 host, page = host.as_py(), Page(source.as_py())
                 blocks = [b for b in page.blocks if b.state != NOISE and b.path]
                 whole = hashed("\n".join(b.text for b in blocks))
+                shown[host, 0, 0, whole, WHOLE] = None
                 for b in blocks:
-                    content.append((host, b.path, hashed(f"{b.path} {b.text}"), whole, 1, None))
+                    shown[host, b.path, hashed(f"{b.path} {b.text}"), whole, TEXT] = None
                     ways.setdefault((host, b.path), b.branches)
-                shown.update((host, path, order) for path, order in page.orders)
-            rows = [*content, *((h, p, o, None, n, None) for (h, p, o), n in shown.items())]
-            rows += [(h, p, None, None, 0, list(way)) for (h, p), way in ways.items()]
+                for path, order in page.orders:
+                    shown[host, path, order, whole, ORDER] = None
+            rows = [(*key, None) for key in shown]
+            rows += [(h, p, None, None, WAY, list(way)) for (h, p), way in ways.items()]
             columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.string(), *[pa.int64()] * 4, pa.list_(pa.int64()))
+            kinds = (pa.string(), *[pa.int64()] * 3, pa.int32(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                names=["host", "path", "item", "page", "n", "above"],
+                names=["host", "path", "item", "page", "kind", "above"],
             )
 
     return (
@@ -327,7 +332,7 @@ def style_counts(pages: DataFrame) -> DataFrame:
         .select("host", "html")
         .mapInArrow(
             emit,
-            "host string, path bigint, item bigint, page bigint, n bigint, above array<bigint>",
+            "host string, path bigint, item bigint, page bigint, kind int, above array<bigint>",
         )
     )
 
@@ -335,28 +340,26 @@ def style_counts(pages: DataFrame) -> DataFrame:
 def low_importance(pages: DataFrame) -> DataFrame:
     """(host, node, is_text): branches and texts of the hosts' style trees to be removed.
 
-    A text that only copies of one page show counts as shown once. Hosts with fewer than
-    ``MIN_PAGES`` pages have no such nodes: there is nothing to compare.
+    All counts are of different pages: n pages show a text or an order of children, however often
+    it stands in them, and copies of a page are one page. Hosts with fewer than ``MIN_PAGES``
+    pages have no such nodes: there is nothing to compare.
     """
-    sites = with_host(pages).filter("host IS NOT NULL AND html IS NOT NULL")
-    sites = sites.groupBy("host").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= MIN_PAGES)
-    counts = style_counts(pages)
     shown = cut_lineage(
-        counts.groupBy("host", "path", "item", F.col("page").isNotNull().alias("is_text"))
-        .agg(
-            F.sum("n").alias("n"),
-            (F.min("page") != F.max("page")).alias("spread"),
-            F.first("above", ignorenulls=True).alias("above"),
-        )
-        .join(sites, "host")
+        style_counts(pages)
+        .groupBy("host", "path", "item", "kind", "page")
+        .agg(F.first("above", ignorenulls=True).alias("above"))
+        .groupBy("host", "path", "item", "kind")
+        .agg(F.count(F.lit(1)).alias("n"), F.first("above", ignorenulls=True).alias("above"))
     )
-    # A text can stand twice in a page; it is no more than everywhere.
-    entropy = F.ln(F.least(F.col("n"), F.col("m")).cast("double")) / F.ln(F.col("m").cast("double"))
-    texts = shown.filter("is_text").select(
-        "host", "path", "item",
-        (1 - F.when(F.col("spread"), entropy).otherwise(0.0)).alias("importance"),
-    )
-    ways = shown.filter(F.col("above").isNotNull()).select(
+    sites = shown.filter(F.col("kind") == WHOLE).select("host", F.col("n").alias("m"))
+    shown = shown.filter(F.col("kind") != WHOLE).join(
+        sites.filter(F.col("m") >= MIN_PAGES), "host"
+    )
+    entropy = F.ln(F.col("n").cast("double")) / F.ln(F.col("m").cast("double"))
+    texts = shown.filter(F.col("kind") == TEXT).select(
+        "host", "path", "item", (1 - entropy).alias("importance")
+    )
+    ways = shown.filter(F.col("kind") == WAY).select(
         "host", "path", F.explode("above").alias("node")
     )
     by_path = texts.groupBy("host", "path").agg(
@@ -367,7 +370,7 @@ def low_importance(pages: DataFrame) -> DataFrame:
         .groupBy("host", "node")
         .agg((F.sum("worth") / F.sum("texts")).alias("content"))
     )
-    orders = shown.filter(~F.col("is_text") & F.col("item").isNotNull())
+    orders = shown.filter(F.col("kind") == ORDER)
     per_node = orders.groupBy("host", "path").agg(
         F.sum("n").alias("all"),
         F.sum(F.col("n") * F.ln(F.col("n").cast("double"))).alias("n_ln_n"),

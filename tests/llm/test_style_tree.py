@@ -63,6 +63,28 @@ def test_copies_and_small_hosts_are_no_evidence(spark):
     assert {got[k] for k in range(100, 103)} == {"Same text"}
 
 
+def test_texts_count_once_a_page(spark):
+    cells = "".join("<tr><td>yes</td><td>no</td></tr>" for _ in range(30))
+    rows = [
+        (k, f"https://cells.example/{k}", f"<body><div><p>Story {k}</p>{f'<table>{cells}</table>' if k < 2 else ''}</div>")
+        for k in range(20)
+    ]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in style_tree.main_text(frame).collect()}
+    assert got[0] == "Story 0\n" + "\n".join(["yes", "no"] * 30) and got[5] == "Story 5"
+
+
+def test_a_hot_group_of_copies_and_a_near_copy_is_no_evidence(spark):
+    shared = "".join(f"<p>Part {k} of the saga</p>" for k in range(5))
+    rows = [(k, "https://hot.example/s", f"<body><div>{shared}<p>The end</p></div>") for k in range(160)]
+    rows.append((160, "https://hot.example/t", f"<body><div>{shared}<p>Another end</p></div>"))
+    rows += [(k, f"https://hot.example/{k}", f"<body><div><p>Story {k}</p><p>of its own {k}</p></div>") for k in range(161, 200)]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text.split("\n") for r in style_tree.main_text(frame).collect()}
+    saga = [f"Part {k} of the saga" for k in range(5)]
+    assert got[0] == [*saga, "The end"] and got[160] == [*saga, "Another end"]
+
+
 def test_large_tables_of_noise_are_joined_salted(spark, monkeypatch):
     monkeypatch.setattr(style_tree, "BROADCAST_ROWS", -1)
     frame = spark.createDataFrame(pages() + pages(10, "k.example"), "page_id bigint, url string, html string")
