@@ -22,7 +22,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 import xxhash
@@ -67,6 +67,10 @@ NOISE_WORDS = frozenset(
     " pagination pager skip search searchbox form copyright disclaimer tracking hidden".split()
 )
 HEADER_WORDS = frozenset(("header", "head", "siteheader", "pageheader"))
+#: Of the words above those of readers' replies and links, which may be longer than the article.
+REPLY_WORDS = frozenset(
+    "comment comments commentlist disqus respond replies related recommended".split()
+)
 
 TAG = re.compile(
     r"""<(?:!--|(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>"""
@@ -93,19 +97,26 @@ WHOLE, TEXT, ORDER, WAY = range(4)
 
 @dataclass(frozen=True)
 class Block:
-    """One run of text between block boundaries."""
+    """One run of text between block boundaries. ``doubt`` is the innermost doubtful element
+    around it and ``main_doubt`` that around its innermost article or main element;
+    ``in_article`` tells of article elements only."""
 
     text: str
     path: int
     branches: tuple[int, ...]
     state: int
+    doubt: int = -1
+    main_doubt: int = -1
+    in_article: bool = False
 
 
 class Node:
     """An open element. ``branches`` are the paths down to it that the tree may remove: in main
     content only those with a class or id, as its plain elements are the article itself."""
 
-    __slots__ = ("branches", "children", "label", "path", "state", "tag")
+    __slots__ = (
+        "branches", "children", "doubt", "in_article", "label", "main_doubt", "path", "state", "tag",
+    )
 
     def __init__(self, tag: str, label: str, above: Node | None, state: int):
         self.tag, self.label, self.state = tag, label, state
@@ -116,6 +127,8 @@ class Node:
         )
         self.branches = branches if plain else (*branches[-63:], self.path)
         self.children: list[str] = []
+        self.doubt, self.main_doubt = (-1, -1) if above is None else (above.doubt, above.main_doubt)
+        self.in_article = tag == "article" or (above is not None and above.in_article)
 
 
 def hashed(text: str) -> int:
@@ -140,28 +153,35 @@ def _label(tag: str, own: dict[str, str]) -> str:
     return " ".join([tag, *(DIGITS.sub("#", n.lower()) for n in names)])
 
 
-def _state(tag: str, own: dict[str, str], above: Node | None) -> int:
-    """Noise stays noise below; main content stays main unless markup says noise."""
+def _state(tag: str, own: dict[str, str], above: Node | None) -> tuple[int, str | None]:
+    """State of an element by its own markup, and a doubt whether it is noise all the same.
+
+    Noise stays noise below; main content stays main unless markup says noise. Words of class and
+    id and forms only raise a doubt ("word" or "reply"), as they may name what wraps a whole page.
+    """
     inherited = PLAIN if above is None else above.state
     if inherited == NOISE:
-        return NOISE
+        return NOISE, None
     names = CAMEL.sub(" ", f"{own.get('class', '')} {own.get('id', '')}").lower()
     words = set(NAME_PARTS.findall(names)) if names.strip() else set()
     role = own.get("role", "").lower()
     hidden = "hidden" in own or own.get("aria-hidden") == "true" or (
         "style" in own and HIDDEN.search(own["style"]) is not None
     )
-    if tag in NOISE_TAGS or role in NOISE_ROLES or hidden:
-        return NOISE
+    form = tag == "form" or role == "form"
+    if (tag in NOISE_TAGS or role in NOISE_ROLES) and not form or hidden:
+        return NOISE, None
     if tag in ("body", "html"):
-        return inherited
+        return inherited, None
+    reply = "reply" if words & REPLY_WORDS else None
     if tag in ("article", "main") or role in ("main", "article"):
-        return NOISE if words & NOISE_WORDS else MAIN
-    if words & NOISE_WORDS:
-        return NOISE
-    if (tag == "header" or words & HEADER_WORDS) and inherited != MAIN:
-        return NOISE
-    return inherited
+        # An article in main content may be a reply; no other word says what an article is.
+        return MAIN, reply if inherited == MAIN else None
+    if tag == "header" and inherited != MAIN:
+        return NOISE, None
+    if words & NOISE_WORDS or form or (words & HEADER_WORDS and inherited != MAIN):
+        return inherited, reply or "word"
+    return inherited, None
 
 
 class Page:
@@ -173,10 +193,49 @@ class Page:
         self.stack: list[Node] = []
         self.open: Counter = Counter()
         self.pieces: list[str] = []
+        #: Of each doubtful element the doubtful one around it, and whether its word is of replies.
+        self.doubts: list[tuple[int, bool]] = []
         self._read(source)
         self._flush()
         while self.stack:
             self._pop()
+        self._settle_doubts()
+
+    def _settle_doubts(self) -> None:
+        """Makes noise of the doubtful elements that do not wrap the page.
+
+        One wraps it that holds most of the page's text or most of the text of the articles, by
+        the articles that begin in it; one of replies only if no article has text outside.
+        """
+        if not self.doubts:
+            return
+        inside, mains, articles = ([0] * len(self.doubts) for _ in range(3))
+        every = main = article = 0
+        for b in self.blocks:
+            if b.state == NOISE:
+                continue
+            every += len(b.text)
+            main += len(b.text) if b.state == MAIN else 0
+            article += len(b.text) if b.in_article else 0
+            if b.doubt >= 0:
+                inside[b.doubt] += len(b.text)
+                articles[b.doubt] += len(b.text) if b.in_article else 0
+            if b.state == MAIN and b.main_doubt >= 0:
+                mains[b.main_doubt] += len(b.text)
+        for k in range(len(self.doubts) - 1, -1, -1):
+            around = self.doubts[k][0]
+            if around >= 0:
+                inside[around] += inside[k]
+                mains[around] += mains[k]
+                articles[around] += articles[k]
+        noise: list[bool] = []
+        for k, (around, reply) in enumerate(self.doubts):
+            wraps = 2 * inside[k] > every or 2 * mains[k] > main
+            wraps = wraps and not (reply and article > articles[k])
+            noise.append(not wraps or (around >= 0 and noise[around]))
+        self.blocks = [
+            replace(b, state=NOISE) if b.doubt >= 0 and noise[b.doubt] else b for b in self.blocks
+        ]
 
     def _flush(self) -> None:
         if self.pieces:
@@ -184,10 +243,12 @@ class Page:
             self.pieces.clear()
             if text:
                 node = self.stack[-1] if self.stack else None
-                path, above, state = (
-                    (node.path, node.branches, node.state) if node else (0, (), PLAIN)
+                where = (
+                    (node.path, node.branches, node.state, node.doubt, node.main_doubt, node.in_article)
+                    if node
+                    else (0, (), PLAIN)
                 )
-                self.blocks.append(Block(text, path, above, state))
+                self.blocks.append(Block(text, *where))
                 if node:
                     node.children.append("#")
 
@@ -199,7 +260,13 @@ class Page:
 
     def _push(self, tag: str, own: dict[str, str]) -> None:
         above = self.stack[-1] if self.stack else None
-        node = Node(tag, _label(tag, own), above, _state(tag, own, above))
+        state, doubt = _state(tag, own, above)
+        node = Node(tag, _label(tag, own), above, state)
+        if doubt:
+            self.doubts.append((node.doubt, doubt == "reply"))
+            node.doubt = len(self.doubts) - 1
+        if tag in ("article", "main") or own.get("role", "").lower() in ("main", "article"):
+            node.main_doubt = node.doubt
         if above:
             above.children.append(node.label)
         self.stack.append(node)

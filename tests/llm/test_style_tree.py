@@ -38,6 +38,27 @@ def test_text_of_a_page(html, text):
     assert extracted(html, NONE, NONE) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<main class='content with-sidebar'><p>a</p></main>", "a"),
+        ("<div class=has-sidebar><p>menu</p><main><p>whole</p></main></div><p>longer text outside</p>", "whole"),
+        ("<div id=page-no-sidebar><p>whole page</p><div class=ad>ad</div></div>", "whole page"),
+        ("<article><div class='side-by-side'><p>whole article</p></div></article>", "whole article"),
+        ("<body class=form-page><form><nav>menu</nav><p>whole page</p></form>", "whole page"),
+        ("<div class=share-wrapper><article><p>t</p><div class=share>s</div></article></div>", "t"),
+        ("<div class=header-fixed><p>whole page</p></div><p>x</p>", "whole page\nx"),
+        ("<main><h1>T</h1><div class=has-sidebar><article>long text</article></div></main>", "T\nlong text"),
+        ("<article><p>short</p><div class=comments><p>a much longer comment</p></div></article>", "short"),
+        ("<p>menu</p><div class=comments-open><article>whole</article></div>", "whole"),
+        ("<main><article>a</article><div class=comments><article>longer</article></div></main>", "a"),
+        ("<article><p>long article</p></article><div class=sidebar><article>tease</article></div>", "long article"),
+    ],
+)
+def test_noise_words_do_not_remove_what_wraps_the_page(html, text):
+    assert extracted(html, NONE, NONE) == text
+
+
 def pages(n=20, host="h.example"):
     """No semantic markup: a changing text between two branches that all pages share."""
     return [
