@@ -1,12 +1,15 @@
 """Toxicity by a factorization machine over hashed terms.
 
-    score = sigmoid(w0 + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i (v_if x_i)^2))
+    score = sigmoid(w0 + sum_i s_i w_i x_i + 1/2n sum_f ((sum_i v_if x_i)^2 - sum_i (v_if x_i)^2))
 
-x_i is 1 if the text has a word with hash i, else 0. The factors v learn which words count
-together, such as an insult beside a group's name, that no sum of single weights can tell.
+x_i is 1 if the text has a word with hash i, else 0, and n is how many it has. The factors v learn
+which words count together, such as an insult beside a group's name, that no sum of single
+weights can tell.
 
-Only terms whose document frequency differs between the labels by ``min_z`` standard errors have
-weights; among so many rare words the others would be learned by heart. It is fitted in one task
+Every term in ``min_rows`` training rows has a weight and factors. s_i = z^2 / (z^2 + min_z^2)
+scales a weight by the z standard errors its document frequency differs by between the labels:
+among so many rare words unscaled weights would be learned by heart. Factors are not scaled, as
+words that count only together differ little each on its own. It is fitted in one task
 on a bounded sample of labelled rows (``max_rows``, ``max_terms`` a row); scoring reads every text
 whole, and the model's size is fixed by ``bits`` and ``factors``.
 """
@@ -39,37 +42,45 @@ def terms_of(text: str | None, bits: int) -> np.ndarray:
 
 @dataclass
 class FactorizationMachine:
-    """Bias, linear weights and factors, and which terms have them."""
+    """Bias, linear weights, their scales and factors, and which terms have them."""
 
     bias: float
     linear: np.ndarray
     factors: np.ndarray
     chosen: np.ndarray
+    scale: np.ndarray
 
     @classmethod
     def blank(cls, bits: int, factors: int) -> FactorizationMachine:
         n = 1 << bits
-        return cls(0.0, np.zeros(n, np.float32), np.zeros((n, factors), np.float32), np.zeros(n, bool))
+        return cls(
+            0.0, np.zeros(n, np.float32), np.zeros((n, factors), np.float32), np.zeros(n, bool),
+            np.ones(n, np.float32),
+        )
 
     def margin(self, terms: np.ndarray) -> float:
         """Of terms that are all chosen ones."""
         rows = self.factors[terms]
         total = rows.sum(axis=0)
-        return self.bias + float(self.linear[terms].sum() + (total @ total - (rows * rows).sum()) / 2)
+        pairs = (total @ total - (rows * rows).sum()) / (2 * max(1, len(terms)))
+        return self.bias + float(self.linear[terms] @ self.scale[terms] + pairs)
 
     def score(self, terms: np.ndarray) -> float:
         margin = self.margin(terms[self.chosen[terms]])
         return float(1.0 / (1.0 + np.exp(-np.clip(margin, -60, 60))))
 
     def choose(self, rows: list[np.ndarray], labels: np.ndarray, min_rows: int, min_z: float) -> None:
-        """Terms in ``min_rows`` rows whose rows with label 1 are unlike a draw from all rows."""
+        """Terms in ``min_rows`` rows, scaled by how unlike a draw from all rows the rows with
+        label 1 are."""
         size, n, ones = len(self.chosen), len(rows), labels.sum()
         every = np.bincount(np.concatenate(rows), minlength=size)
         marked = [r for r, y in zip(rows, labels, strict=True) if y]
         toxic = np.bincount(np.concatenate([*marked, np.zeros(0, np.int32)]), minlength=size)
         share = every / n
         error = np.sqrt(np.maximum(1e-9, ones * (n - ones) / n * share * (1 - share)))
-        self.chosen = (every >= min_rows) & (np.abs(toxic - ones * share) / error >= min_z)
+        self.chosen = every >= min_rows
+        z2 = ((toxic - ones * share) / error) ** 2
+        self.scale = (z2 / np.maximum(1e-9, z2 + min_z * min_z)).astype(np.float32)
 
     def fit(
         self, rows: list[np.ndarray], labels: np.ndarray, *, epochs: int, rate: float,
@@ -89,11 +100,11 @@ class FactorizationMachine:
                 error = (self.score(terms) - labels[k]) * weight[k]
                 g_bias += error * error
                 self.bias -= rate * error / np.sqrt(g_bias)
-                slope = error + penalty * self.linear[terms]
+                slope = error * self.scale[terms] + penalty * self.linear[terms]
                 g_linear[terms] += slope * slope
                 self.linear[terms] -= rate * slope / np.sqrt(g_linear[terms])
                 own = self.factors[terms]
-                slope = error * (own.sum(axis=0) - own) + penalty * own
+                slope = error / max(1, len(terms)) * (own.sum(axis=0) - own) + penalty * own
                 g_factors[terms] += slope * slope
                 self.factors[terms] = own - rate * slope / np.sqrt(g_factors[terms])
 
@@ -159,17 +170,19 @@ def fit_toxicity(
                 pa.array([model.linear.tobytes()], pa.binary()),
                 pa.array([model.factors.tobytes()], pa.binary()),
                 pa.array([model.chosen.tobytes()], pa.binary()),
+                pa.array([model.scale.tobytes()], pa.binary()),
             ],
-            names=["bias", "linear", "factors", "chosen"],
+            names=["bias", "linear", "factors", "chosen", "scale"],
         )
 
-    shape = "bias double, linear binary, factors binary, chosen binary"
+    shape = "bias double, linear binary, factors binary, chosen binary, scale binary"
     fitted = sample.repartition(1).mapInArrow(train, shape).first()
     return FactorizationMachine(
         fitted["bias"],
         np.frombuffer(fitted["linear"], np.float32),
         np.frombuffer(fitted["factors"], np.float32).reshape(-1, factors),
         np.frombuffer(fitted["chosen"], bool),
+        np.frombuffer(fitted["scale"], np.float32),
     )
 
 

@@ -33,6 +33,39 @@ def test_pairs_are_learned_that_single_weights_cannot_tell():
     assert sum(right) / len(right) > 0.95
 
 
+def fitted(rows, labels):
+    model = toxicity.FactorizationMachine.blank(10, 4)
+    model.choose(rows, labels, min_rows=3, min_z=4.0)
+    model.fit(rows, labels, epochs=8, rate=0.1, penalty=1e-4, seed=1)
+    return model
+
+
+def test_pairs_of_words_alike_in_both_labels_are_learned():
+    rng = np.random.default_rng(5)
+    rows, labels = [], []
+    for _ in range(3000):
+        a, b = rng.integers(0, 2, 2)
+        rows.append(np.array([k for k, on in ((1, a), (2, b)) if on] + list(3 + rng.choice(300, 25)), np.int32))
+        labels.append(float(a == b))
+    rows, labels = [np.unique(r) for r in rows], np.array(labels)
+    model = fitted(rows[:2400], labels[:2400])
+    right = [(model.score(r) >= 0.5) == bool(y) for r, y in zip(rows[2400:], labels[2400:], strict=True)]
+    assert sum(right) / len(right) > 0.9
+
+
+def test_an_insult_of_few_toxic_rows_counts():
+    rng = np.random.default_rng(6)
+    rows = [np.unique(10 + rng.choice(300, 10)).astype(np.int32) for _ in range(1200)]
+    labels = np.array([float(k % 2) for k in range(1200)])
+    for k in range(1, 21, 2):
+        rows[k] = np.append(np.int32(1), rows[k])
+    model = fitted(rows, labels)
+    plain = rows[500:700]
+    with_it = [model.score(np.append(np.int32(1), r)) for r in plain]
+    assert np.mean([a > model.score(r) for a, r in zip(with_it, plain, strict=True)]) == 1.0
+    assert model.linear[1] * model.scale[1] > 0.2
+
+
 def test_awkward_rows(spark):
     docs = cases.frame(spark)
     labels = spark.createDataFrame(
