@@ -10,8 +10,7 @@ Every term in ``min_rows`` training rows has a weight and factors. s_i = z^2 / (
 scales a weight by the z standard errors its document frequency differs by between the labels:
 among so many rare words unscaled weights would be learned by heart. Factors are not scaled, as
 words that count only together differ little each on its own. It is fitted in one task
-on a bounded sample of labelled rows (``max_rows``, ``max_terms`` a row); scoring reads every text
-whole, and the model's size is fixed by ``bits`` and ``factors``.
+on a bounded sample of labelled rows (``max_rows``); training and scoring read every text whole, and the model's size is fixed by ``bits`` and ``factors``.
 """
 
 from __future__ import annotations
@@ -111,14 +110,14 @@ class FactorizationMachine:
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, *, folds: int = 5, held_out: int = 0,
-    max_rows: int = 12_000, max_terms: int = 2_000, bits: int = 18, factors: int = 4,
+    max_rows: int = 12_000, bits: int = 18, factors: int = 4,
     min_rows: int = 3, min_z: float = 4.0, epochs: int = 8, rate: float = 0.1,
     penalty: float = 1e-4, seed: int = 11,
 ) -> FactorizationMachine:
     """A machine fitted on the labelled rows outside the held-out fold.
 
-    Of each label at most about ``max_rows`` / 2 rows are taken, by a hash of the id; of a longer
-    training text the ``max_terms`` terms of smallest hash. Rows with null toxic or null text
+    Of each label at most about ``max_rows`` / 2 rows are taken, by a hash of the id, each with all
+    its terms. Rows with null toxic or null text
     teach nothing; a doc_id labelled both ways counts as toxic. Without a row to learn from, all
     weights stay zero and every score is 0.5.
     """
@@ -140,7 +139,7 @@ def fit_toxicity(
         ]
     )
     chosen = marks.filter(draw < share)
-    hashed = F.arrow_udf(_hashed(bits, max_terms), "array<int>")
+    hashed = F.arrow_udf(_hashed(bits), "array<int>")
     # The sample is bounded by max_rows, so its ids are: the texts are not shuffled for them.
     sample = (
         pick(docs, doc_id="bigint", text="string")
@@ -150,17 +149,16 @@ def fit_toxicity(
     )
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, tuple, int]] = []
+        rows: list[tuple[int, np.ndarray, int]] = []
         for batch in batches:
+            # A text's terms stay one array of numbers, as long texts have very many.
+            terms = [np.array(x.values.to_numpy(), np.int32) for x in batch["terms"]]
             rows += zip(
-                batch["doc_id"].to_pylist(),
-                map(tuple, batch["terms"].to_pylist()),
-                batch["toxic"].to_pylist(),
-                strict=True,
+                batch["doc_id"].to_pylist(), terms, batch["toxic"].to_pylist(), strict=True
             )
-        rows.sort()
+        rows.sort(key=lambda row: (row[0], zlib.crc32(row[1]), row[2]))
         if rows:
-            own = [np.array(terms, np.int32) for _, terms, _ in rows]
+            own = [terms for _, terms, _ in rows]
             marks = np.array([toxic != 0 for _, _, toxic in rows], float)
             model.choose(own, marks, min_rows, min_z)
             model.fit(own, marks, epochs=epochs, rate=rate, penalty=penalty, seed=seed)
@@ -186,11 +184,9 @@ def fit_toxicity(
     )
 
 
-def _hashed(bits: int, most: int):
+def _hashed(bits: int):
     def hashed(texts: pa.Array) -> pa.Array:
-        return pa.array(
-            [terms_of(text.as_py(), bits)[:most].tolist() for text in texts], pa.list_(pa.int32())
-        )
+        return pa.array([terms_of(text.as_py(), bits) for text in texts], pa.list_(pa.int32()))
 
     hashed.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return hashed

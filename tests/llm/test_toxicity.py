@@ -66,6 +66,19 @@ def test_an_insult_of_few_toxic_rows_counts():
     assert model.linear[1] * model.scale[1] > 0.2
 
 
+def test_long_training_texts_are_read_whole(spark):
+    filler = [f"w{k}" for k in range(3000)]
+    # The word of highest hash is the one that tells.
+    filler.sort(key=lambda w: toxicity.terms_of(w, 18)[0])
+    told = filler.pop()
+    rows = [(k, " ".join([*filler, *([told] if k % 2 else [])])) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id bigint, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    at = toxicity.terms_of(told, 18)[0]
+    assert model.chosen[at] and model.linear[at] > 0.2
+
+
 def test_awkward_rows(spark):
     docs = cases.frame(spark)
     labels = spark.createDataFrame(
