@@ -174,12 +174,15 @@ def myers_whole(bits: dict[str, int], length: int, text: str) -> tuple[int, int]
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The distinct items in blocks of a bounded number, their texts in normal form.
 
-    Items of null id or text, or without letter and digit, cannot be found and are left out; of
-    rows that repeat an id each distinct text is an item.
+    Items of null text, or without letter and digit, cannot be found and are left out; of rows
+    that repeat an id each distinct text is an item. A text that only rows of null id have is an
+    item with a hash of the text as its id.
     """
+    items = pick(benchmark, item_id="bigint", text="string").filter(F.col("text").isNotNull())
+    named = items.filter(F.col("item_id").isNotNull())
+    unnamed = items.filter(F.col("item_id").isNull()).join(named.select("text"), "text", "left_anti")
     rows = (
-        pick(benchmark, item_id="bigint", text="string")
-        .dropna()
+        named.unionByName(unnamed.select(F.xxhash64("text").alias("item_id"), "text"))
         .distinct()
         .orderBy("item_id", "text")
     )

@@ -55,14 +55,19 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp), one row a document row; fp is the fingerprint as a signed 64-bit number."""
+    rows = pick(docs, doc_id="bigint", text="string")
+    return rows.select("doc_id", _print_of(shingle, seed)("text").alias("fp"))
+
+
+def _print_of(shingle: int, seed: int):
+    """Arrow function text -> fingerprint."""
 
     @F.arrow_udf("bigint")
     def emit(texts: pa.Array) -> pa.Array:
         prints = [fingerprint(shingle_hashes(x.as_py(), shingle, seed)) for x in texts]
         return pa.array(np.array(prints, np.uint64).view(np.int64))
 
-    rows = pick(docs, doc_id="bigint", text="string")
-    return rows.select("doc_id", emit("text").alias("fp"))
+    return emit
 
 
 def _forest(left: np.ndarray, right: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -254,6 +259,13 @@ def near_duplicates(
     texts: memory of one text and its hashes. Empty table: no rows.
     """
     prints = cut_lineage(fingerprints(docs, shingle, seed))
+    of_print = cut_lineage(_components_of(prints, radius, tile).select("fp", "component_id"))
+    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+
+
+def _components_of(prints: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
+    """(fp, least, component, component_id) of each fingerprint: the smallest doc_id that has it,
+    the component's label, which is one of its fingerprints, and its smallest doc_id."""
     # The node of a fingerprint: its own bits; the smallest document comes in after linking.
     distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     joined = components(links(distinct.select(F.col("fp").alias("node"), "fp"), radius, tile))
@@ -261,21 +273,27 @@ def near_duplicates(
         "fp", "least", F.coalesce("component", "fp").alias("component")
     )
     smallest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_print = cut_lineage(
-        grouped.join(smallest, "component").select("fp", "component_id")
-    )
-    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    return grouped.join(smallest, "component")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
-    """``docs`` with one row of each component: the smallest doc_id's (null ids: one row).
+    """``docs`` with one row of each component: the smallest doc_id's, nulls last.
 
-    Of rows that repeat that id the smallest row by text and then by its other columns stays.
+    Of rows that repeat that id in the component the smallest row by text and then by its other
+    columns stays; components may share an id, and those of null ids only keep a row each.
     """
-    found = near_duplicates(docs, shingle, radius, seed)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("keep_id")
-    ).distinct()
-    rows = packed(docs).join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
-    chosen = rows.groupBy("doc_id").agg(F.min(F.struct("text", "row")).alias("least"))
+    prints = cut_lineage(fingerprints(docs, shingle, seed).distinct())
+    found = cut_lineage(_components_of(prints, radius).select("fp", "component", "component_id"))
+    # Thin rows first: the fingerprints, with their component, that a surviving row may have.
+    keep = (
+        prints.join(found, "fp")
+        .filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .select(F.col("doc_id").alias("keep_id"), F.col("fp").alias("keep_fp"), "component")
+    )
+    rows = packed(docs).withColumn("fp", _print_of(shingle, seed)("text"))
+    chosen = (
+        rows.join(keep, (F.col("fp") == F.col("keep_fp")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
+        .groupBy("component")
+        .agg(F.min(F.struct("text", "row")).alias("least"))
+    )
     return unpacked(chosen.select("least.text", "least.row"), docs.columns)

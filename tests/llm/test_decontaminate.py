@@ -77,6 +77,13 @@ def test_spans_point_into_the_text(spark):
     assert sorted(r[0] for r in kept.collect()) == [2, 3] and kept.columns == docs.columns
 
 
+def test_items_of_null_ids_are_found(spark):
+    docs = cases.frame(spark, [(1, f"so {ITEM} it goes", None, None, None), (2, "clean", None, None, None)])
+    bench = spark.createDataFrame([(None, ITEM), (8, "absent words here")], "item_id bigint, text string")
+    assert [r.doc_id for r in decontaminate.contaminated(docs, bench).collect()] == [1]
+    assert [r.doc_id for r in decontaminate.uncontaminated(docs, bench).collect()] == [2]
+
+
 @pytest.mark.parametrize("size", [1, 5000])
 def test_blocks_of_items_do_not_change_the_result(spark, monkeypatch, size):
     monkeypatch.setattr(decontaminate, "ITEMS_A_BLOCK", size)

@@ -83,6 +83,14 @@ def test_awkward_rows_and_stage(spark):
     assert simhash.near_duplicates(cases.frame(spark, [])).count() == 0
 
 
+def test_clean_documents_of_null_and_repeated_ids_stay(spark):
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(f"w{rng.randrange(9999)}" for _ in range(60)) for _ in range(4))
+    rows = [(i, t, None, None, None) for i, t in ((None, a), (None, a), (None, b), (5, c), (5, d), (1, c), (6, d), (None, d))]
+    kept = [(r.doc_id, r.text) for r in simhash.one_of_each(cases.frame(spark, rows)).collect()]
+    assert sorted(kept, key=repr) == sorted([(None, a), (None, b), (1, c), (5, d)], key=repr)
+
+
 def test_components_of_long_chains(spark):
     chain = spark.range(300).selectExpr("id * 11 % 301 as a", "(id + 1) * 11 % 301 as b")
     rows = components(chain.union(spark.createDataFrame([(900, 901)], "a long, b long"))).collect()
