@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkloom.llm import (
+    byte_pairs,
     decontaminate,
     language,
     line_dedup,
@@ -257,3 +258,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), score("text").alias("score")
     ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op12_byte_pairs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    tokenizer = byte_pairs.Tokenizer(spark, path, public_tokenizers.PATTERN)
+    docs = pick(documents(spark, sf_dir), doc_id="bigint", text="string")
+    encoded = docs.select("doc_id", tokenizer.encode()("text").alias("ids"))
+    return encoded.select("doc_id", "ids", tokenizer.decode()("ids").alias("back")).select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("back", 256).alias("decoded_sha256"),
+    )
