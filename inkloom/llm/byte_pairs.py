@@ -77,6 +77,13 @@ class PairTable:
         return found
 
 
+def gathered(values: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The runs values[start : start + count], one after another."""
+    total = np.cumsum(count)
+    shift = np.repeat(start - total + count, count)
+    return values[shift + np.arange(len(shift))]
+
+
 class Pieces(dict):
     """Numbers pieces in the order in which they are first asked for."""
 
@@ -92,6 +99,11 @@ class Vocabulary:
         self.whole = ranks
         self.pattern = regex.compile(pattern)
         self.token = {rank: token for token, rank in ranks.items()}
+        self.size = np.zeros(max(self.token) + 1, np.int64)
+        self.size[list(self.token)] = [len(token) for token in self.token.values()]
+        self.place = np.zeros(len(self.size), np.int64)
+        self.place[list(self.token)] = np.cumsum([0, *map(len, self.token.values())])[:-1]
+        self.bytes = np.frombuffer(b"".join(self.token.values()), np.uint8)
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"a byte-level vocabulary has all 256 bytes; {missing[:5]} are missing")
@@ -112,25 +124,35 @@ class Vocabulary:
 
     # -- merging -------------------------------------------------------------------------------
 
-    def merged(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of each piece."""
-        out: list[np.ndarray | None] = [None] * len(pieces)
+    def merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each piece, and the ids of all of them in order."""
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        known: list[tuple[int, int]] = []
         buckets: dict[int, list[int]] = {}
         for k, piece in enumerate(pieces):
-            known = self.whole.get(piece)
-            if known is not None:
-                out[k] = np.array([known], np.int32)
+            token = self.whole.get(piece)
+            if token is not None:
+                known.append((k, token))
             elif len(piece) > WIDEST:
-                out[k] = self._by_heap(piece)
+                ids = self._by_heap(piece)
+                done.append((np.array([k]), np.array([len(ids)]), ids))
             else:
-                buckets.setdefault(max(4, 1 << (len(piece) - 1).bit_length()), []).append(k)
+                width = len(piece) + 3 & ~3 if len(piece) <= 32 else 1 << (len(piece) - 1).bit_length()
+                buckets.setdefault(width, []).append(k)
+        if known:
+            who, ids = np.array(known).T
+            done.append((who, np.ones(len(who), np.int64), ids.astype(np.int32)))
         for width, members in buckets.items():
             rows = max(1, CELLS // width)
             for at in range(0, len(members), rows):
-                self._by_rounds(pieces, members[at : at + rows], width, out)
-        return out  # type: ignore[return-value]
-
-    def _by_rounds(self, pieces: list[bytes], members: list[int], width: int, out: list) -> None:
+                self._by_rounds(pieces, members[at : at + rows], width, done)
+        if not done:
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        who, count, flat = (np.concatenate(column) for column in zip(*done, strict=True))
+        order = np.argsort(who)
+        return count[order], gathered(flat, (np.cumsum(count) - count)[order], count[order])
+
+    def _by_rounds(self, pieces: list[bytes], members: list[int], width: int, done: list) -> None:
         rows = [pieces[k] for k in members]
         flat = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in rows), np.uint8)
         ids = self.of_byte[flat.reshape(len(rows), width)]
@@ -144,8 +166,8 @@ class Vocabulary:
             least = ranks[row, at] if ranks.shape[1] else np.full(len(who), NO_RANK)
             live = least < NO_RANK
             if not live.all():
-                for k in np.flatnonzero(~live).tolist():
-                    out[who[k]] = ids[k, : length[k]].copy()
+                full = np.arange(ids.shape[1]) < length[~live, None]
+                done.append((who[~live], length[~live], ids[~live][full]))
                 ids, ranks, who, length = ids[live], ranks[live], who[live], length[live]
                 row, at, least = np.arange(len(who)), at[live], least[live]
             if not len(who):
@@ -199,40 +221,62 @@ class Vocabulary:
 
     # -- texts ---------------------------------------------------------------------------------
 
-    def _ids_of(self, pieces: list[str]) -> np.ndarray:
-        """Ids of the pieces, one after another."""
+    def _ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each piece, and the ids of all of them in order."""
         if len(self.numbers) > KEPT_PIECES or self.starts[-1] > KEPT_TOKENS:
             self._forget()
         old = len(self.numbers)
         number = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, count=len(pieces))
         if len(self.numbers) > old:
-            new = self.merged([p.encode() for p in islice(self.numbers, old, None)])
-            ends = self.starts[-1] + np.cumsum([len(x) for x in new])
+            count, flat = self.merged([p.encode() for p in islice(self.numbers, old, None)])
+            ends = self.starts[-1] + np.cumsum(count)
             while ends[-1] > len(self.tokens):
                 self.tokens = np.concatenate([self.tokens, np.zeros_like(self.tokens)])
-            self.tokens[self.starts[-1] : ends[-1]] = np.concatenate(new)
+            self.tokens[self.starts[-1] : ends[-1]] = flat
             self.starts = np.concatenate([self.starts, ends])
         start = self.starts[number]
         count = self.starts[number + 1] - start
-        total = np.cumsum(count)
-        shift = np.repeat(start - total + count, count)
-        return self.tokens[shift + np.arange(total[-1] if len(total) else 0)]
+        return count, gathered(self.tokens, start, count)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, as little-endian unsigned 32-bit integers."""
-        if len(text) <= AT_ONCE:
-            return self._ids_of(self.pattern.findall(text)).astype("<u4").tobytes()
-        found = (match[0] for match in self.pattern.finditer(text))
-        parts = iter(lambda: list(islice(found, AT_ONCE)), [])
-        return b"".join(self._ids_of(part).astype("<u4").tobytes() for part in parts)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; the texts share matrices."""
+        out: list[bytes] = []
+        pieces: list[str] = []
+        ends: list[int] = []
+
+        def flush() -> None:
+            count, ids = self._ids_of(pieces)
+            upto = np.concatenate([[0], np.cumsum(count)])[[0, *ends]].tolist()
+            raw = ids.astype("<u4").tobytes()
+            out.extend(raw[4 * a : 4 * b] for a, b in zip(upto, upto[1:], strict=False))
+            pieces.clear()
+            ends.clear()
+
+        for text in texts:
+            if len(text) > AT_ONCE:
+                flush()
+                found = (match[0] for match in self.pattern.finditer(text))
+                parts = iter(lambda found=found: list(islice(found, AT_ONCE)), [])
+                out.append(b"".join(self._ids_of(p)[1].astype("<u4").tobytes() for p in parts))
+                continue
+            pieces += self.pattern.findall(text)
+            ends.append(len(pieces))
+            if len(pieces) >= AT_ONCE:
+                flush()
+        flush()
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         """Bytes of the tokens, which need not be whole characters where ids were cut."""
-        numbers = np.frombuffer(ids, "<u4")
-        return b"".join(
-            b"".join(map(self.token.__getitem__, numbers[at : at + AT_ONCE].tolist()))
-            for at in range(0, len(numbers), AT_ONCE)
-        )
+        numbers = np.frombuffer(ids, "<u4").astype(np.int64)
+        if len(numbers) and (numbers.max() >= len(self.size) or not self.size[numbers].all()):
+            raise ValueError("an id is none of the vocabulary's")
+        parts = (numbers[at : at + AT_ONCE] for at in range(0, len(numbers), AT_ONCE))
+        return b"".join(gathered(self.bytes, self.place[x], self.size[x]).tobytes() for x in parts)
 
 
 class Tokenizer:
@@ -258,7 +302,7 @@ class Tokenizer:
         @F.arrow_udf("binary")
         def encoded(texts: pa.Array) -> pa.Array:
             own = _vocabulary(shared, key)
-            return pa.array([own.encode(text.as_py() or "") for text in texts], pa.binary())
+            return pa.array(own.encode_all([x or "" for x in texts.to_pylist()]), pa.binary())
 
         return encoded
 

@@ -76,11 +76,10 @@ def test_rounds_and_heap_equal_brute_force_on_ranks_that_were_never_trained(monk
     vocabulary = byte_pairs.Vocabulary(ranks, r"(?s).+")
     pieces = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 90))) for _ in range(400)]
     wanted = [brute(ranks, p) for p in pieces]
-    assert [x.tolist() for x in vocabulary.merged(pieces)] == wanted
-    monkeypatch.setattr(byte_pairs, "CELLS", 200)
-    assert [x.tolist() for x in vocabulary.merged(pieces)] == wanted
-    monkeypatch.setattr(byte_pairs, "WIDEST", 0)
-    assert [x.tolist() for x in vocabulary.merged(pieces)] == wanted
+    wanted_ids = ([len(x) for x in wanted], [i for x in wanted for i in x])
+    for setting, value in (("CELLS", 1 << 21), ("CELLS", 200), ("WIDEST", 0)):
+        monkeypatch.setattr(byte_pairs, setting, value)
+        assert tuple(x.tolist() for x in vocabulary.merged(pieces)) == wanted_ids
 
 
 def test_kept_pieces_and_long_texts_change_nothing(own, library, monkeypatch):
@@ -103,7 +102,9 @@ def test_pair_table_holds_every_pair_and_no_other(own):
     assert own.pairs.ranks(a, b).tolist() == wanted
 
 
-def test_a_vocabulary_without_all_bytes_is_refused():
+def test_unknown_ids_and_a_vocabulary_without_all_bytes_are_refused(own):
+    with pytest.raises(ValueError, match="none of the vocabulary"):
+        own.decode((50_256).to_bytes(4, "little"))
     with pytest.raises(ValueError, match="256 bytes"):
         byte_pairs.Vocabulary({b"a": 0}, ".+")
 
