@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from inkloom.llm import (
     byte_pairs,
     decontaminate,
+    divergence,
     language,
     line_dedup,
     mixing,
@@ -274,3 +275,52 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("back", 256).alias("decoded_sha256"),
     )
+
+
+@query(
+    "op13_divergence",
+    r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS doc, coalesce(text, '') AS text, coalesce(lang, '') AS lang,
+             coalesce(source, '') AS source
+      FROM documents
+    ), t AS (
+      SELECT doc, lang, source,
+             translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+      FROM d
+    ), kept AS (
+      SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT doc) >= 3
+    ), counts AS (
+      SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL
+    ), langs AS (
+      SELECT lang, count(kept.term) AS v, coalesce(sum(kept.n), 0)::BIGINT AS n
+      FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang
+    ), groups AS (
+      SELECT g.lang, g.source, langs.v, langs.n AS n_lang, coalesce(sum(counts.n), 0)::BIGINT AS n
+      FROM (SELECT DISTINCT lang, source FROM d) g JOIN langs USING (lang)
+      LEFT JOIN counts USING (lang, source) GROUP BY ALL
+    ), shares AS (
+      SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+             1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.n + g.v) AS p,
+             1 + 1000000000::HUGEINT * (k.n + 1) // (g.n_lang + g.v) AS q
+      FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)
+    ), found AS (
+      SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value
+      FROM shares WHERE n > 0 AND p > q
+      UNION ALL
+      SELECT a.lang, a.source, 'pair', b.source,
+             coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0)
+      FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN shares x ON x.lang = a.lang AND x.source = a.source
+      LEFT JOIN shares y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+      WHERE x.term IS NULL OR y.term IS NOT NULL
+      GROUP BY a.lang, a.source, b.source
+    )
+    SELECT lang, source, part, item, value::BIGINT AS value,
+           row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+    FROM found QUALIFY part = 'pair' OR rank <= 200
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(documents(spark, sf_dir), min_docs=3, top=200)
