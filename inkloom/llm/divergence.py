@@ -123,14 +123,15 @@ def run_counts(data: np.ndarray, edges: np.ndarray, group: np.ndarray, groups: i
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, df) of (lang, source, text) rows without null lang or source."""
+    size = SLICE
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends = np.cumsum([len(x) for x in batch["text"].cast(pa.large_binary()).fill_null(b"").to_numpy(zero_copy_only=False)])
+            edges = bytes_of(batch["text"])[1]
             at = 0
             while at < len(batch):
-                before = ends[at - 1] if at else 0
-                to = max(at + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+                to = int(np.searchsorted(edges, edges[at] + size, "right")) - 1
+                to = min(len(batch), max(at + 1, to))
                 yield of_slice(batch.slice(at, to - at))
                 at = to
 

@@ -11,6 +11,7 @@ from inkloom.llm import (
     byte_pairs,
     decontaminate,
     divergence,
+    hard_negatives,
     language,
     line_dedup,
     mixing,
@@ -324,3 +325,41 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(documents(spark, sf_dir), min_docs=3, top=200)
+
+
+@query(
+    "op11_hard_negatives",
+    """
+    WITH r AS (
+      SELECT row_number() OVER () AS r, vec_id,
+             CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+      FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+      SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id, a.label = b.label AS same,
+             list_inner_product(a.v, b.v)::BIGINT AS score
+      FROM r a JOIN r b ON a.r <> b.r WHERE a.vec_id % 100 = 0
+    ), positives AS (
+      SELECT * FROM scored WHERE same
+      QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) <= 5
+    )
+    SELECT p.anchor_id, p.vec_id AS positive_id,
+           row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.vec_id)::INT AS rank,
+           n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+    FROM positives p JOIN scored n ON n.a = p.a AND NOT n.same
+      AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+    QUALIFY rank <= 5
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pick(
+        spark.read.parquet(f"{sf_dir}/embeddings.parquet"),
+        vec_id="bigint", embedding="array<double>", label="bigint",
+    )
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(
+        rows.withColumn("label", moved), F.col("vec_id") % 100 == 0,
+        positives=5, negatives=5, percent=80, scale=256,
+    )
