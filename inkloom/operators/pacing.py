@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from inkloom.operators.keyed import BLOCK, before_blocks, equal_depth, null_safe_join
+
 DEFAULT_DELAY_US = 500_000
-BLOCK_US = 1_000_000
 
 
 def fetch_pacing(
@@ -17,17 +18,19 @@ def fetch_pacing(
     arrive_us: str,
     tie: str,
     delay_us: int,
-    block_us: int = BLOCK_US,
+    block: int = BLOCK,
 ) -> DataFrame:
     """Adds ``start_us``: when the limiter lets each request of its host go.
 
     Request k (from 0, by arrival then ``tie``) starts at max over j <= k of
-    (arrive_j + (k - j) * delay). Arrivals are cut into short time blocks: rows are windowed
-    per host and block, and per host only one count and one maximum per block are. A host with
-    a third of all requests is thereby spread over its blocks.
+    (arrive_j + (k - j) * delay). That is a scan: a run of requests is a pair (count, peak), peak
+    being the latest arrive_j - j * delay in it, and two runs make (c1 + c2, max(p1, p2 - c1 *
+    delay)). Requests are dealt into blocks of equal depth by host and arrival, windowed per host
+    and block, and blocks are composed in two levels. So a host with most of the requests lies in
+    as many blocks as its share, whether its arrivals are dense or years apart.
     """
     delay = F.lit(delay_us if delay_us > 0 else DEFAULT_DELAY_US).cast("bigint")
-    cut = arrivals.withColumn("_block", F.floor(F.col(arrive_us) / F.lit(block_us)))
+    cut = equal_depth(arrivals, [host, arrive_us, tie], block=block)
     in_block = Window.partitionBy(host, "_block").orderBy(arrive_us, tie)
     so_far = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = cut.withColumn("_rank", (F.row_number().over(in_block) - 1).cast("bigint"))
@@ -37,17 +40,16 @@ def fetch_pacing(
     blocks = ranked.groupBy(host, "_block").agg(
         F.count(F.lit(1)).alias("_rows"), F.max(ahead).alias("_peak")
     )
-    before = Window.partitionBy(host).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    counted = blocks.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-    carried = counted.select(
-        host,
-        "_block",
-        "_offset",
-        F.max(F.col("_peak") - F.col("_offset") * delay).over(before).alias("_carry"),
+    offset = F.coalesce("_before", F.lit(0).cast("bigint"))
+    counted = before_blocks(blocks, [host], "_rows", F.sum).select(
+        host, "_block", offset.alias("_offset"), (F.col("_peak") - offset * delay).alias("_peak")
+    )
+    carried = before_blocks(counted, [host], "_peak", F.max).select(
+        host, "_block", "_offset", F.col("_before").alias("_carry")
     )
     # greatest() skips the missing carry of a host's first block.
     peak = F.greatest(F.col("_carry"), F.col("_ahead") - F.col("_offset") * delay)
     start = peak + (F.col("_offset") + F.col("_rank")) * delay
-    return local.join(carried, [host, "_block"]).select(
+    return null_safe_join(local, carried, [host, "_block"]).select(
         *arrivals.columns, start.alias("start_us")
     )

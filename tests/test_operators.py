@@ -140,12 +140,12 @@ def test_concat_arrays(spark):
     assert rows(arrays.joined_samples(frame, "k", "o", "v", block=1)) == [("x", 0, 1.0), ("x", 1, 2.0), ("x", 2, 5.0), ("y", 0, 7.0)]
 
 
-@pytest.mark.parametrize("delay, block", [(10, 7), (3, 1000), (0, 50)])
+@pytest.mark.parametrize("delay, block", [(10, 7), (3, 1000), (0, 50), (1, 1)])
 def test_pacing_equals_sequential_limiter(spark, delay, block):
     rng = random.Random(delay + block)
     data = [(i, rng.choice("aab"), rng.randrange(0, 200)) for i in range(120)]
     frame = spark.createDataFrame(data, "id int, host string, at bigint")
-    got = {r.id: r.start_us for r in pacing.fetch_pacing(frame, host="host", arrive_us="at", tie="id", delay_us=delay, block_us=block).collect()}
+    got = {r.id: r.start_us for r in pacing.fetch_pacing(frame, host="host", arrive_us="at", tie="id", delay_us=delay, block=block).collect()}
     ready, step = {}, delay if delay > 0 else pacing.DEFAULT_DELAY_US
     for i, host, at in sorted(data, key=lambda r: (r[2], r[0])):
         start = max(at, ready.get(host, at))
@@ -192,3 +192,52 @@ def test_edges_are_read_once_when_planned_from_pages(spark, tmp_path):
     assert rows_of(chain.dangling_next(edges)) == [("c", "zz")]
     plan = chain.next_edges(edges)._jdf.queryExecution().executedPlan().toString()
     assert "LocalTableScan" not in plan and "Scan ExistingRDD" not in plan
+
+
+def block_sizes(cut, *keys):
+    return [r["count"] for r in cut.groupBy(*keys, "_block").count().collect()]
+
+
+def test_blocks_are_of_equal_depth_whatever_the_values(spark):
+    rng = random.Random(3)
+    # One host has 90 % of arrivals, hours apart, and one arrival lies ten thousand years off.
+    data = [("hot", k * 3_600_000_000 + rng.randrange(1000), k) for k in range(7200)]
+    data += [(f"h{k % 80}", rng.getrandbits(40), k) for k in range(799)] + [("hot", 10**18, 9999)]
+    frame = spark.createDataFrame(data, "host string, at bigint, id int")
+    cut = keyed.equal_depth(frame, ["host", "at", "id"], block=200)
+    assert cut.count() == 8000 and len(set(r._block for r in cut.select("_block").distinct().collect())) >= 30
+    assert max(block_sizes(cut, "host")) <= 400
+    found = pacing.fetch_pacing(frame, host="host", arrive_us="at", tie="id", delay_us=5_000_000_000, block=200)
+    ready, got = {}, {r.id if r.host == "hot" else (r.host, r.id): r.start_us for r in found.collect()}
+    for host, at, i in sorted(data, key=lambda r: (r[1], r[2])):
+        start = max(at, ready.get(host, at))
+        ready[host] = start + 5_000_000_000
+        assert got[i if host == "hot" else (host, i)] == start
+
+
+def test_running_sum_with_an_outlier_and_null_keys(spark):
+    data = [("a", o, 1) for o in range(2000)] + [("a", 10**18, 1)] + [(None, o, 2) for o in range(300)]
+    frame = spark.createDataFrame(data, "k string, o bigint, v int")
+    assert max(block_sizes(keyed.equal_depth(frame, ["k", "o"], block=100), "k")) <= 200
+    summed = keyed.running_sum(frame, ["k"], "o", F.col("v"), "s", block=100)
+    assert summed.columns == ["k", "o", "v", "s"]
+    got = {(r.k, r.o): r.s for r in summed.collect()}
+    assert len(got) == len(data) and got["a", 10**18] == 2000 and got[None, 299] == 598
+    assert all(got["a", o] == o and got.get((None, o), 2 * o) == 2 * o for o in range(2000))
+
+
+@pytest.mark.parametrize("span", [1, 3, 64])
+def test_folds_over_earlier_blocks(spark, span):
+    rng = random.Random(span)
+    data = [(k, b, rng.randrange(-9, 9)) for k in ("a", None) for b in rng.sample(range(40), 20)]
+    frame = spark.createDataFrame(data, "k string, _block int, v int")
+    for fold, brute in ((F.sum, sum), (F.max, max)):
+        got = {(r.k, r._block): r._before for r in keyed.before_blocks(frame, ["k"], "v", fold, span=span).collect()}
+        for k, b, _ in data:
+            earlier = [v for kk, bb, v in data if kk == k and bb < b]
+            assert got[k, b] == (brute(earlier) if earlier else None)
+
+
+def test_empty_tables_have_no_blocks(spark):
+    frame = spark.createDataFrame([], "k string, o bigint, v int")
+    assert keyed.running_sum(frame, ["k"], "o", F.col("v"), "s").collect() == []
