@@ -241,3 +241,56 @@ def test_folds_over_earlier_blocks(spark, span):
 def test_empty_tables_have_no_blocks(spark):
     frame = spark.createDataFrame([], "k string, o bigint, v int")
     assert keyed.running_sum(frame, ["k"], "o", F.col("v"), "s").collect() == []
+
+
+def random_links(seed: int, n: int) -> dict:
+    """Trees, tails, loops that pass through several chains, dead links and single pages."""
+    rng = random.Random(seed)
+    names = [f"{rng.randrange(10**6):06d}" for _ in range(n)]
+    near = lambda k: names[max(0, min(n - 1, k + rng.choice([1, 1, 1, 1, 2, -3, -9])))]
+    return {u: rng.choices([near(k), None, "gone"], [12, 1, 1])[0] for k, u in enumerate(names)}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_chains_hold_every_page_once_and_loops_are_chains(spark, seed):
+    edges = random_links(seed, 120)
+    if seed == 4:  # two chains that enter each other: the loop lies across both
+        edges = {"a0": "a1", "a1": "a2", "a2": "b1", "b0": "b1", "b1": "b2", "b2": "a1", "s": "s", "x": "s"}
+    frame = spark.createDataFrame(list(edges.items()), "url string, next_url string")
+    chains, ends = chain.page_chains(frame, hot_rows=3, salts=2)
+    place = {r.url: (r.head, r.rank) for r in chains.collect()}
+    end = {r["head"]: r for r in ends.collect()}
+    assert sorted(place) == sorted(edges) and chains.count() == len(edges)
+    assert {(h, k) for h, r in end.items() for k in range(r.length)} == set(place.values())
+
+    def loop_of(url):
+        seen = []
+        while url in edges and url not in seen:
+            seen.append(url)
+            url = edges[url]
+        return seen[seen.index(url) :] if url in seen else []
+
+    for url, (head, rank) in place.items():
+        row = end[head]
+        target = edges[url] if edges[url] in edges else None
+        follows = (head, rank + 1) if rank + 1 < row.length else (row.to_head, row.to_rank)
+        assert (place[target] if target else (None, None)) == follows
+        on_loop = url in loop_of(url)
+        assert row.loop == on_loop
+        if on_loop:
+            assert head == min(loop_of(url)) and row.length == len(loop_of(url))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("stop", [False, True])
+def test_walks_of_slices_equal_brute_force(spark, seed, stop):
+    edges = random_links(seed, 60)
+    frame = spark.createDataFrame(list(edges.items()), "url string, next_url string")
+    starts = frame.selectExpr("url as start_url")
+    chains, ends = chain.page_chains(frame)
+    slices = chain.walk_slices(chains, ends, starts, 45, stop_on_cycle=stop)
+    wanted = walk(edges, list(edges), 45)
+    if stop:
+        wanted = [r for r in wanted if r[2] not in [w[2] for w in wanted if w[0] == r[0] and w[1] < r[1]]]
+    assert rows(chain.crawl_many(frame, starts, 45, stop_on_cycle=stop)) == wanted
+    assert slices.count() < len(wanted) / 2
