@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.config import DEFAULT, FALLBACK_ROOT, UNTITLED, ExtractConfig
+from inkloom.config import DEFAULT, FALLBACK_ROOT, UNTITLED, ExtractConfig, Settings, SitePresets
 from inkloom.functions import markup
 from inkloom.functions.strings import chapter_code, nav_label, none_if_blank, trim_ws, words_joined
 from inkloom.operators.events import CLOSE, OPEN, TEXT, page_events
@@ -44,10 +44,11 @@ def inside_text(texts: Column, place: Column) -> Column:
     return F.array_join(F.slice(texts, place["i"] + 2, count), "")
 
 
-def kept_attributes(config: ExtractConfig) -> list[str]:
+def kept_attributes(config: Settings) -> list[str]:
     used = {"href", "rel", "property", "content"}
-    for selector in (*config.selectors, FALLBACK_ROOT):
-        used |= attributes_used(selector)
+    for own in config.configs():
+        for selector in (*own.selectors, FALLBACK_ROOT):
+            used |= attributes_used(selector)
     return sorted(used)
 
 
@@ -62,9 +63,11 @@ def page_title(opens: Column, events: Column) -> Column:
     )
 
 
-def content_root(opens: Column, config: ExtractConfig = DEFAULT) -> Column:
+def content_root(opens: Column, config: Settings = DEFAULT) -> Column:
     """Place of the content root: configured selectors in order, then the usual fallbacks."""
-    return first_of(opens, [*config.selectors, FALLBACK_ROOT, "body"])
+    return config.choose(
+        ("selectors",), lambda own: first_of(opens, [*own.selectors, FALLBACK_ROOT, "body"])
+    )
 
 
 def is_gone(event: Column, root: Column) -> Column:
@@ -105,10 +108,13 @@ def _inline_piece(event: Column, root: Column) -> Column:
     )
 
 
-def is_nav_label(label: Column, config: ExtractConfig = DEFAULT) -> Column:
+def is_nav_label(label: Column, config: Settings = DEFAULT) -> Column:
     """Label (already normalised) of a page-to-page link."""
-    known = [nav_label(F.lit(text)) for text in (*config.next_texts, *config.prev_texts)]
-    return label.rlike(NAV_LABEL) | label.isin(*known)
+
+    def known(own: ExtractConfig) -> Column:
+        return label.isin(*[nav_label(F.lit(text)) for text in (*own.next_texts, *own.prev_texts)])
+
+    return label.rlike(NAV_LABEL) | config.choose(("next_texts", "prev_texts"), known)
 
 
 def _only_nav(block: Column, links: Column, loose: Column) -> Column:
@@ -154,23 +160,31 @@ def wrap_block(tag: Column, inner: Column, config: ExtractConfig) -> Column:
     return F.when(fewer, F.transform(plain, wrapped)).otherwise(split)
 
 
-def _block_html(block: Column, config: ExtractConfig) -> Column:
+def _block_html(block: Column, config: Settings) -> Column:
     """Blocks of one candidate ``(tag, skip, words, inner)``."""
     none = F.array().cast("array<string>")
-    scene_break = F.array(F.lit(config.break_html)) if config.break_html else none
+    scene_break = config.choose(
+        ("break_html",), lambda own: F.array(F.lit(own.break_html)) if own.break_html else none
+    )
+    in_words = config.choose(
+        ("scene_break_patterns",), lambda own: markup.is_scene_break(block["words"], own.scene_break_patterns)
+    )
     tag = F.when(block["tag"] == "blockquote", F.lit("blockquote")).otherwise(F.lit("p"))
     return (
         F.when(block["skip"], none)
         .when(
-            (block["tag"] == "hr")
-            | markup.is_scene_break(block["words"], config.scene_break_patterns),
+            (block["tag"] == "hr") | in_words,
             scene_break,
         )
-        .otherwise(wrap_block(tag, block["inner"], config))
+        .otherwise(
+            config.choose(
+                ("break_html", "br_threshold"), lambda own: wrap_block(tag, block["inner"], own)
+            )
+        )
     )
 
 
-def next_href(opens: Column, live: Column, root: Column, config: ExtractConfig = DEFAULT) -> Column:
+def next_href(opens: Column, live: Column, root: Column, config: Settings = DEFAULT) -> Column:
     """Target of the next link: ``link[rel*=next]``, exact label, then any label with "next"."""
     href = lambda event: none_if_blank(event["attrs"]["href"])
     here = lambda event: ~F.coalesce(is_gone(event, root), F.lit(False))
@@ -183,7 +197,9 @@ def next_href(opens: Column, live: Column, root: Column, config: ExtractConfig =
         lambda e: F.struct(trim_ws(inside_text(live, e)).alias("label"), href(e).alias("href")),
     )
     exact = F.filter(
-        labels, lambda a: a["label"].isin(*config.next_texts) & a["href"].isNotNull()
+        labels,
+        lambda a: config.choose(("next_texts",), lambda own: a["label"].isin(*own.next_texts))
+        & a["href"].isNotNull(),
     )
     fuzzy = F.filter(labels, lambda a: a["label"].rlike("(?i)next"))
     first = F.lit(0)
@@ -192,7 +208,7 @@ def next_href(opens: Column, live: Column, root: Column, config: ExtractConfig =
     )
 
 
-def rooted_events(events: DataFrame, config: ExtractConfig = DEFAULT, keys=KEYS) -> DataFrame:
+def rooted_events(events: DataFrame, config: Settings = DEFAULT, keys=KEYS) -> DataFrame:
     """Adds ``opens`` (open events only) and the content root's place."""
     opened = settle(events, [*keys, "events"], opens=F.filter("events", lambda e: e["kind"] == OPEN))
     return settle(
@@ -210,13 +226,16 @@ def live_events(rooted: DataFrame, keys=KEYS) -> DataFrame:
     return settle(rooted, [*keys, "events", "opens", "root", "title"], live=live)
 
 
-def page_candidates(events: DataFrame, config: ExtractConfig = DEFAULT, keys=KEYS) -> DataFrame:
+def page_candidates(events: DataFrame, config: Settings = DEFAULT, keys=KEYS) -> DataFrame:
     """Every block element of the content root in order: tag, skip flag, text, inline markup."""
     root, opens, live = F.col("root"), F.col("opens"), F.col("live")
 
     def is_nav(anchor: Column) -> Column:
         label = nav_label(inside_text(live, anchor))
-        return is_nav_label(trim_ws(label) if config.trim_nav_labels else label, config)
+        label = config.choose(
+            ("trim_nav_labels",), lambda own: trim_ws(label) if own.trim_nav_labels else label
+        )
+        return is_nav_label(label, config)
 
     def in_root(event: Column) -> Column:
         return (
@@ -235,12 +254,11 @@ def page_candidates(events: DataFrame, config: ExtractConfig = DEFAULT, keys=KEY
         ),
         found=F.filter(opens, lambda e: e["tag"].isin(*BLOCK_TAGS) & in_root(e)),
     )
-    found = F.col("found")
-    if config.dedupe_nested:
-        found = F.filter(
-            found,
-            lambda b: ~F.exists("found", lambda o: (o["i"] < b["i"]) & (o["end"] > b["end"])),
-        )
+    outer = F.filter(
+        "found", lambda b: ~F.exists("found", lambda o: (o["i"] < b["i"]) & (o["end"] > b["end"]))
+    )
+    found = config.choose(("dedupe_nested",), lambda own: outer if own.dedupe_nested else F.col("found"))
+
     def candidate(block: Column) -> Column:
         return F.struct(
             block["tag"].alias("tag"),
@@ -260,7 +278,7 @@ def page_candidates(events: DataFrame, config: ExtractConfig = DEFAULT, keys=KEY
     )
 
 
-def page_blocks(events: DataFrame, config: ExtractConfig = DEFAULT, keys=KEYS) -> DataFrame:
+def page_blocks(events: DataFrame, config: Settings = DEFAULT, keys=KEYS) -> DataFrame:
     """Title, ordered block array and next link of every page."""
     raw = settle(
         page_candidates(events, config, keys),
@@ -275,15 +293,20 @@ def page_blocks(events: DataFrame, config: ExtractConfig = DEFAULT, keys=KEYS) -
 
 
 def judged_pages(
-    pages: DataFrame, config: ExtractConfig = DEFAULT, keys=KEYS, *, strict: bool = False
+    pages: DataFrame, config: Settings = DEFAULT, keys=KEYS, *, strict: bool = False
 ) -> DataFrame:
     """Every page with its chapter fields and ``reject_reason`` (null for a good chapter).
 
-    ``strict`` fails the job on the first bad page instead.
+    Pages of an error status are told by it alone: nothing of them is parsed, and their chapter
+    fields are those of an empty page. ``strict`` fails the job on the first bad page instead.
     """
     has_status = "status" in pages.columns
     passed = [*keys, "status"] if has_status else list(keys)
     status = F.col("status") if has_status else F.lit(None).cast("int")
+    if has_status:
+        pages = pages.withColumn("html", F.when(status >= 400, F.lit("")).otherwise(F.col("html")))
+    if isinstance(config, SitePresets):
+        passed.append(config.column)
     events = page_events(pages, passed, keep_attrs=kept_attributes(config))
     blocks = page_blocks(events, config, passed)
     joined = settle(
@@ -294,7 +317,10 @@ def judged_pages(
     reason = (
         F.when(status >= 400, F.concat(F.lit("http status "), status.cast("string")))
         .when(F.col("root").isNull(), F.lit(NO_CONTENT))
-        .when(~markup.passes_gate(F.col("html"), config.min_text_len), F.lit(TOO_SHORT))
+        .when(
+            ~config.choose(("min_text_len",), lambda own: markup.passes_gate(F.col("html"), own.min_text_len)),
+            F.lit(TOO_SHORT),
+        )
     )
     if strict:
         reason = F.when(
@@ -308,7 +334,7 @@ def judged_pages(
     )
 
 
-def chapters(pages: DataFrame, config: ExtractConfig = DEFAULT, keys=KEYS, **options) -> DataFrame:
+def chapters(pages: DataFrame, config: Settings = DEFAULT, keys=KEYS, **options) -> DataFrame:
     """Good chapters: ``keys``, title, code, html and the unresolved next link."""
     return (
         judged_pages(pages, config, keys, **options)
@@ -317,7 +343,7 @@ def chapters(pages: DataFrame, config: ExtractConfig = DEFAULT, keys=KEYS, **opt
     )
 
 
-def rejects(pages: DataFrame, config: ExtractConfig = DEFAULT, keys=KEYS) -> DataFrame:
+def rejects(pages: DataFrame, config: Settings = DEFAULT, keys=KEYS) -> DataFrame:
     """Pages that give no chapter, with the reason."""
     return (
         judged_pages(pages, config, keys)

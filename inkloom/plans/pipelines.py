@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.config import DEFAULT, ExtractConfig
+from inkloom.config import DEFAULT, ExtractConfig, SitePresets
 from inkloom.functions.sentences import MAX_CHARS
 from inkloom.operators import chain
 from inkloom.operators.chunks import chunks
@@ -63,18 +63,14 @@ def site_chapters(
     """Chapters by per-site settings: ``sites`` names the preset of a ``host``.
 
     A preset is a whole configuration, so selectors, link texts, patterns and limits all take
-    effect. Hosts without a row, or with an unknown preset, use ``default``. Each preset is a pass
-    over the pages that keeps only its own before anything is parsed.
+    effect. Hosts without a row, or with an unknown preset, use ``default``. The name of the preset
+    travels with the page: pages are read, joined and parsed once for any number of presets.
     """
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     named = sites.select(F.lower("host").alias("_host"), F.col("preset").alias("_preset")).dropDuplicates(["_host"])
     hosted = pages.withColumn("_host", host)
     joined = lookup_join(hosted, named, "_host", spread=["page_id"]).drop("_host")
-    known = F.coalesce(F.col("_preset").isin(*presets), F.lit(False)) if presets else F.lit(False)
-    out = chapters(joined.filter(~known).drop("_preset"), default)
-    for name, config in presets.items():
-        out = out.unionByName(chapters(joined.filter(F.col("_preset") == name).drop("_preset"), config))
-    return out
+    return chapters(joined, SitePresets(presets, default))
 
 
 def requests_from_documents(
