@@ -21,11 +21,18 @@ def extensions(paths: DataFrame, path: str = "path") -> DataFrame:
 
 
 def ext_set(parts: DataFrame, keys: tuple[str, ...] = ("base",)) -> DataFrame:
-    """Distinct extensions per key and whether every part is a ``.wav``."""
+    """Distinct extensions per key, in order, and whether every part is a ``.wav``.
+
+    ``exts`` is the set itself: parts are reduced to distinct extensions before they meet.
+    """
     seen = extensions(parts).select(*keys, "ext").distinct()
     return (
         seen.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("extensions"), F.min("ext").alias("first_ext"))
+        .agg(
+            F.count(F.lit(1)).alias("extensions"),
+            F.min("ext").alias("first_ext"),
+            F.sort_array(F.collect_list("ext")).alias("exts"),
+        )
         .withColumn("all_wav", (F.col("extensions") == 1) & (F.col("first_ext") == ".wav"))
     )
 

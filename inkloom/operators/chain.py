@@ -39,6 +39,19 @@ def next_edges(edges: DataFrame, **tuning) -> DataFrame:
     return joined.select("url", "next_url", found.alias("target_found"))
 
 
+def next_pages(edges: DataFrame, pages: DataFrame, *columns: str, **tuning) -> DataFrame:
+    """Every edge with ``columns`` of the page that it leads to, named ``next_...``.
+
+    ``pages`` has a row for each ``url`` (see :func:`latest_captures`); null without a link, and
+    where the next page is not there.
+    """
+    targets = pages.select(
+        F.col("url").alias("next_url"), *[F.col(name).alias(f"next_{name}") for name in columns]
+    )
+    joined = lookup_join(edges.select("url", "next_url"), targets, "next_url", spread=["url"], **tuning)
+    return joined.select("url", "next_url", *[f"next_{name}" for name in columns])
+
+
 def dangling_next(edges: DataFrame, **tuning) -> DataFrame:
     """Edges whose target is not among the pages."""
     # Both sides and the search for hot targets read the edges: they are made once.

@@ -31,12 +31,12 @@ PART_PATH = """concat(source, '/part-', cast(doc_id as string), CASE WHEN source
     "ext_set",
     f"""WITH e AS (SELECT DISTINCT source AS base,
         lower(regexp_extract({PART_PATH.replace('as string', 'as varchar')}, '(\\.[^./]*)$', 1)) AS ext FROM documents)
-    SELECT base, count(*) AS extensions, min(ext) AS first_ext, count(*) = 1 AND min(ext) = '.wav' AS all_wav
+    SELECT base, count(*) AS extensions, min(ext) AS first_ext, string_agg(ext, ',' ORDER BY ext) AS exts, count(*) = 1 AND min(ext) = '.wav' AS all_wav
     FROM e GROUP BY base""",
 )
 def ext_set(spark, sf_dir) -> DataFrame:
     parts = table(spark, sf_dir, "documents").select(F.col("source").alias("base"), F.expr(PART_PATH).alias("path"))
-    return audits.ext_set(parts)
+    return audits.ext_set(parts).withColumn("exts", F.array_join("exts", ","))
 
 
 RATE = "CASE WHEN n_chars > 3000 AND source <> 'src3' THEN 22050 ELSE 24000 END"

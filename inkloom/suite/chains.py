@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.operators import chain
+from inkloom.operators import chain, extract
 from inkloom.operators.books import book_txt
 from inkloom.plans.pipelines import books_from_pages, chapter_counts_from_pages
+from inkloom.session import cut_lineage
 from inkloom.suite import query
 from inkloom.suite.turns import TURNS_SQL, turn_edges, turn_pages, turn_starts
 
@@ -23,6 +24,18 @@ def next_edge(spark, sf_dir) -> DataFrame:
     return chain.next_edges(chain.page_edges(turn_edges(spark, sf_dir)))
 
 
+@query(
+    "next_page",
+    f"""WITH {TURNS_SQL} SELECT t.url, t.next_url, n.title AS next_title, n.html AS next_html
+    FROM good t LEFT JOIN good n ON n.url = t.next_url""",
+)
+def next_page(spark, sf_dir) -> DataFrame:
+    """Every good page with the title and text of the page that follows it."""
+    pages = cut_lineage(extract.chapters(turn_pages(spark, sf_dir)))
+    thin = chain.page_edges(pages.select("url", "next_href"))
+    return chain.next_pages(thin, pages, "title", "html")
+
+
 @query(
     "dangling_next",
     f"""WITH {TURNS_SQL} SELECT url, next_url FROM turns t

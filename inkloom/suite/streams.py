@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 
 from inkloom.session import shared_folder
 from inkloom.streaming import document_stream, page_stream, stream_chapters, stream_chunks
-from inkloom.suite import query
+from inkloom.streaming.store import ChapterStore, stream_saves
+from inkloom.suite import query, table
+from inkloom.suite.books import STORE_SQL
 from inkloom.suite.pages import CHAPTERS_SQL
 from inkloom.suite.texts import chunk_ctes
+from inkloom.suite.turns import chapters_of
 
 
 def _drained(spark, start) -> DataFrame:
@@ -37,3 +40,14 @@ def chunks(spark, sf_dir) -> DataFrame:
     return _drained(
         spark, lambda out, checkpoint: stream_chunks(documents, out, checkpoint, key="doc_id")
     )
+
+
+@query("stream_store", f"WITH {STORE_SQL} SELECT book_id, slug, seq, url, title, code, html FROM store")
+def store(spark, sf_dir) -> DataFrame:
+    """Chapters saved batch by batch as they arrive, the last one of a slug kept."""
+    folder = f"{shared_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "conversations").schema
+    arriving = chapters_of(document_stream(spark, sf_dir, schema, "conversations.parquet"))
+    kept = ChapterStore(f"{folder}/store", buckets=16)
+    stream_saves(arriving, kept.save, f"{folder}/checkpoint").awaitTermination()
+    return kept.chapters(spark).select("book_id", "slug", "seq", "url", "title", "code", "html")

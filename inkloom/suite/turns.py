@@ -59,12 +59,16 @@ def turn_starts(spark, sf_dir) -> DataFrame:
 
 
 def turn_chapters(spark, sf_dir) -> DataFrame:
+    return chapters_of(table(spark, sf_dir, "conversations"))
+
+
+def chapters_of(turns: DataFrame) -> DataFrame:
     """Turns as chapters of one book per conversation; the role serves as code, so slugs repeat."""
     lines = F.filter(F.transform(F.split("text", "\n"), trim_ws), lambda line: line != "")
     html = F.array_join(
         F.transform(lines, lambda line: F.concat(F.lit("<p>"), escape_html(line), F.lit("</p>"))), "\n"
     )
-    return table(spark, sf_dir, "conversations").select(
+    return turns.select(
         F.concat(F.lit("c"), F.col("conv_id")).alias("book_id"),
         (F.col("turn") * 3).alias("seq"),
         _url().alias("url"),

@@ -131,7 +131,7 @@ def test_audits(spark):
     )
     assert rows(audits.format_uniform(parts)) == [("a", True, None), ("b", False, 4)]
     paths = spark.createDataFrame([("a", "x.wav"), ("a", "y.WAV"), ("b", "x.wav"), ("b", "d.d/z")], "base string, path string")
-    assert rows(audits.ext_set(paths)) == [("a", 1, ".wav", True), ("b", 2, "", False)]
+    assert rows(audits.ext_set(paths)) == [("a", 1, ".wav", [".wav"], True), ("b", 2, "", ["", ".wav"], False)]
 
 
 def test_concat_arrays(spark):
@@ -294,3 +294,11 @@ def test_walks_of_slices_equal_brute_force(spark, seed, stop):
         wanted = [r for r in wanted if r[2] not in [w[2] for w in wanted if w[0] == r[0] and w[1] < r[1]]]
     assert rows(chain.crawl_many(frame, starts, 45, stop_on_cycle=stop)) == wanted
     assert slices.count() < len(wanted) / 2
+
+
+def test_next_pages_carry_what_they_show(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "gone"), ("c", None), ("d", "b")], "url string, next_url string")
+    pages = spark.createDataFrame([("a", "A", 1), ("b", "B", 2), ("c", "C", 3)], "url string, title string, n int")
+    found = chain.next_pages(edges, pages, "title", "n", hot_rows=1, salts=3)
+    assert found.columns == ["url", "next_url", "next_title", "next_n"]
+    assert sorted(map(tuple, found.collect()), key=str) == [("a", "b", "B", 2), ("b", "gone", None, None), ("c", None, None, None), ("d", "b", "B", 2)]
