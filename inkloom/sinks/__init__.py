@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +41,28 @@ def write_manifest(parts: DataFrame, path: str, *, buckets: int = 64, files: int
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
     spread = _spread(parts.withColumn("doc_bucket", bucket), ["doc_bucket", "doc_id"], ["part_no"], files)
     spread.write.mode("overwrite").partitionBy("doc_bucket").parquet(path)
+
+
+def write_text_files(texts: DataFrame, folder: str) -> DataFrame:
+    """A file for each row of ``name`` and ``content`` (binary) below ``folder``, a full address.
+
+    Gives the names written, and writes them when that is read. A task that runs again writes the
+    same files again. Names may hold folders, which are made.
+    """
+    from inkloom.sources.text_folder import opened
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root, _ = opened(folder)
+        made: set[str] = set()
+        for batch in batches:
+            for name, content in zip(batch["name"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                path = f"{root.rstrip('/')}/{name}"
+                above = path.rsplit("/", 1)[0]
+                if above not in made:
+                    system.create_dir(above, recursive=True)
+                    made.add(above)
+                with system.open_output_stream(path) as stream:
+                    stream.write(content or b"")
+            yield batch.select(["name"])
+
+    return texts.select("name", "content").mapInArrow(write, "name string")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkloom.sources.text_folder import TextFolder
+
 _REPLACEMENT = "\ufffd"
 TEXT_FILES = "*.[tT][xX][tT]"
 
@@ -65,15 +67,13 @@ def directly_in(spark: SparkSession, path: str) -> Column:
 def text_inputs(spark: SparkSession, path: str, *, recursive: bool = False) -> DataFrame:
     """``path`` and ``text`` of one text file or of a folder's text files, in no order.
 
-    The extension is matched in any case; a single file with another one is an error, and so are
-    text files of hidden names. Sort the paths, not the texts, where the order matters.
+    The extension is matched in any case; a single file with another one is an error. Names that
+    begin with ``_`` or ``.`` are names like others, unlike in Spark's own file sources. Bytes that
+    are not UTF-8 are dropped. Sort the paths, not the texts, where the order matters.
     """
     if _is_file(spark, path) and not path.lower().endswith(".txt"):
         raise ValueError(f"not a .txt: {path}")
-    refuse_hidden(spark, path, recursive)
-    # Always looked up recursively: else folders named like partitions break a flat listing.
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", TEXT_FILES)
-    files = reader.text(path, wholetext=True)
-    if not recursive:
-        files = files.filter(directly_in(spark, path))
-    return files.select(file_path().alias("path"), drop_broken_bytes(F.col("value")).alias("text"))
+    location, system = _location(spark, path)
+    spark.dataSource.register(TextFolder)
+    reader = spark.read.format(TextFolder.name()).option("recursive", str(recursive).lower())
+    return reader.option("path", system.makeQualified(location).toString()).load()

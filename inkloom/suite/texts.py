@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from inkloom.functions import markup, strings
 from inkloom.functions.sentences import hard_wrap, sentence_split
 from inkloom.functions.vectors import quantise_i16
 from inkloom.operators import chunks as ops
+from inkloom.session import shared_folder
+from inkloom.sinks import write_text_files
+from inkloom.sources.texts import text_inputs
 from inkloom.suite import query, table
 
 SPACE = strings.UNICODE_SPACE
@@ -130,6 +135,52 @@ def sort_paths(spark, sf_dir) -> DataFrame:
     return paths.orderBy("path", "doc_id")
 
 
+def _text_files(spark, sf_dir, content) -> str:
+    """The documents as text files by source, some of them with names that Spark's readers skip."""
+    folder = f"{shared_folder(spark).rstrip('/')}/texts-{uuid.uuid4().hex}"
+    address = folder if ":/" in folder else f"file://{folder}"
+    first = F.element_at(F.array(F.lit(""), F.lit("_"), F.lit(".")), (F.col("doc_id") % 3 + 1).cast("int"))
+    last = F.when(F.col("doc_id") % 2 == 0, ".txt").otherwise(".TxT")
+    name = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), first, F.col("doc_id"), last)
+    documents = table(spark, sf_dir, "documents")
+    written = write_text_files(documents.select(name.alias("name"), content.alias("content")), address)
+    written.write.format("noop").mode("overwrite").save()
+    return address
+
+
+FILE_NAME = """coalesce(source, 'none') || '/' || CASE doc_id % 3 WHEN 1 THEN '_' WHEN 2 THEN '.' ELSE '' END || doc_id
+  || CASE doc_id % 2 WHEN 0 THEN '.txt' ELSE '.TxT' END"""
+
+
+def _read_back(spark, folder: str) -> DataFrame:
+    read = text_inputs(spark, folder, recursive=True)
+    name = F.regexp_extract("path", "([^/]*/[^/]*)$", 1)
+    return read.select(name.alias("name"), F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("chars"))
+
+
+@query(
+    "text_inputs",
+    f"SELECT {FILE_NAME} AS name, md5(coalesce(text, '')) AS text_md5, length(coalesce(text, ''))::BIGINT AS chars FROM documents",
+)
+def text_files(spark, sf_dir) -> DataFrame:
+    """Every text file of a folder tree, hidden names among them."""
+    return _read_back(spark, _text_files(spark, sf_dir, F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+
+
+@query(
+    "read_text_lossy",
+    f"""SELECT {FILE_NAME} AS name, md5('a' || coalesce(text, '') || chr(65533) || 'z') AS text_md5,
+      length(coalesce(text, ''))::BIGINT + 3 AS chars
+    FROM documents""",
+)
+def lossy_text_files(spark, sf_dir) -> DataFrame:
+    """Bytes that are not UTF-8 are dropped; a replacement character of the text stays."""
+    broken = F.concat(
+        F.unhex(F.lit("FF61C3")), F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.unhex(F.lit("EFBFBDE282")), F.unhex(F.lit("7AF0"))
+    )
+    return _read_back(spark, _text_files(spark, sf_dir, broken))
+
+
 SEGMENT = r"""(?s).+?(?:[.!?]+["'')\]]*[\t\n\f\r ]+|\n{2,}|\z)"""
 NORMAL = r"regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[ \t\f\x0B]+', ' ', 'g')"
 

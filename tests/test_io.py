@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkloom.operators.chunks import chunks
 from inkloom.operators.extract import chapters
 from inkloom.sinks import write_book_text, write_chapter_store, write_manifest
+from inkloom.sources import text_folder
 from inkloom.sources.texts import text_inputs
 from inkloom.streaming import page_stream, stream_chapters, stream_chunks, text_stream
 
@@ -42,13 +43,32 @@ def test_stream_paths_equal_batch_paths(spark, tmp_path):
 
 
 @pytest.mark.parametrize("name", ["_x.txt", ".x.TXT", "_sub/x.txt"])
-def test_hidden_text_files_are_refused(spark, tmp_path, name):
+def test_hidden_text_files_are_read_but_not_streamed(spark, tmp_path, name):
     (tmp_path / "_sub").mkdir()
     (tmp_path / "a.txt").write_text("a")
     (tmp_path / name).write_text("hidden")
-    for read in (text_inputs, text_stream):
-        with pytest.raises(ValueError, match="x"):
-            read(spark, str(tmp_path), recursive=True)
+    found = sorted((r.path, r.text) for r in text_inputs(spark, str(tmp_path), recursive=True).collect())
+    assert found == sorted([(f"file:{tmp_path}/a.txt", "a"), (f"file:{tmp_path}/{name}", "hidden")])
+    with pytest.raises(ValueError, match="x"):
+        text_stream(spark, str(tmp_path), recursive=True)
+
+
+def test_text_folder_deals_files_to_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_folder, "PART_FILES", 3)
+    for k in range(8):
+        (tmp_path / f"{k}.txt").write_text(str(k))
+    for sub in ("s", "t"):
+        (tmp_path / sub).mkdir()
+        (tmp_path / sub / "deep.txt").write_text(sub)
+    reader = text_folder.TextFolderReader(f"file:{tmp_path}", True)
+    parts = reader.partitions()
+    assert sorted(len(p.files) for p in parts) == [0, 0, 2, 3, 3] and sum(len(p.folders) for p in parts) == 2
+    texts = [batch["text"][0].as_py() for part in parts for batch in reader.read(part)]
+    assert sorted(texts) == [*"01234567", "s", "t"]
+    with pytest.raises(FileNotFoundError):
+        text_folder.TextFolderReader(f"file:{tmp_path}/none", True).partitions()
+    (tmp_path / "empty").mkdir()
+    assert text_inputs(spark, str(tmp_path / "empty")).collect() == []
 
 
 def test_stream_rejects_error_pages_like_the_batch(spark, tmp_path):
