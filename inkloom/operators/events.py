@@ -17,7 +17,7 @@ from html.entities import html5 as HTML5_NAMES
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -423,3 +423,24 @@ def page_events(
 def page_nodes(events: DataFrame, keys: Sequence[str] = ("page_id", "url")) -> DataFrame:
     """One row per element or text node, for relational use."""
     return events.select(*keys, F.inline("events")).filter(F.col("kind") != CLOSE)
+
+
+class _PageNodes:
+    """The nodes of a page, a row each."""
+
+    def eval(self, html: str) -> Iterator[tuple]:
+        events = _Events(None)
+        add_page(events, html)
+        for node in events.to_arrow().flatten().to_pylist():
+            if node["kind"] != CLOSE:
+                yield tuple(dict(value) if name == "attrs" else value for name, value in node.items())
+
+
+def register_page_nodes(spark: SparkSession, name: str = "page_nodes") -> None:
+    """The table function ``name(html)`` for SQL: the rows of :func:`page_nodes` of one page.
+
+    ``SELECT p.page_id, n.* FROM pages p, LATERAL page_nodes(p.html) n``. A null page is an empty
+    one. Pages stay where they are: the lateral join has no shuffle. Rows go to and fro in Arrow
+    batches; a function from batches to tables cannot stand in a lateral join.
+    """
+    spark.udtf.register(name, F.udtf(_PageNodes, returnType=EVENT_TYPE, useArrow=True))
