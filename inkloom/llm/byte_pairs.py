@@ -318,6 +318,25 @@ class Tokenizer:
 
         return decoded
 
+    def round_trip(self):
+        """Column function: text to (ids, back), its ids and the bytes that they decode to.
+
+        The same as :meth:`encode` and then :meth:`decode`, with a text encoded once where both are
+        wanted.
+        """
+        shared, key = self.shared, self.key
+
+        @F.arrow_udf("ids binary, back binary")
+        def both(texts: pa.Array) -> pa.Array:
+            own = _vocabulary(shared, key)
+            ids = own.encode_all([x or "" for x in texts.to_pylist()])
+            back = [own.decode(x) for x in ids]
+            return pa.StructArray.from_arrays(
+                [pa.array(ids, pa.binary()), pa.array(back, pa.binary())], names=["ids", "back"]
+            )
+
+        return both
+
 
 _LOADED: dict[int, Vocabulary] = {}
 

@@ -269,8 +269,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     tokenizer = byte_pairs.Tokenizer(spark, path, public_tokenizers.PATTERN)
     docs = pick(documents(spark, sf_dir), doc_id="bigint", text="string")
-    encoded = docs.select("doc_id", tokenizer.encode()("text").alias("ids"))
-    return encoded.select("doc_id", "ids", tokenizer.decode()("ids").alias("back")).select(
+    coded = docs.select("doc_id", tokenizer.round_trip()("text").alias("made"))
+    return coded.select("doc_id", "made.*").select(
         "doc_id",
         F.expr("octet_length(ids) div 4").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
