@@ -16,6 +16,9 @@ SEGMENT = rf"(?s).{_SKIP}(?:(?!{_END}).{_SKIP})*+(?:{_END}|\z)"
 
 MAX_CHARS = 1800
 STRICT_FLOOR = 400
+# A place that ends a segment whatever stands around it: closing punctuation after something that
+# can neither end nor begin a segment by itself, white space, and more text.
+SAFE_CUT = r"[^\t\n\f\r \x0B.!?][.!?]+[\"')\]]*[\t\n\f\r ]+(?=[^\t\n\f\r \x0B])"
 # Pieces folded at a time. A fold copies what it has built at every step, so it builds piece
 # numbers rather than text and does so slab by slab, which stays fast for very long texts.
 SLAB = 256
@@ -131,20 +134,17 @@ def _joined(pieces: Column, starts: Column) -> Column:
     return bind(pieces["text"], lambda texts: bind(starts, lambda begins: assemble(texts, begins)))
 
 
-def chunk_text(
-    text: Column, limit: int = MAX_CHARS, *, strict: bool = False, floor: int = 0
-) -> Column:
-    """Array of chunks of at most ``limit`` characters, filled greedily with sentences.
+def chunk_limit(limit: int, *, strict: bool = False, floor: int = 0) -> int:
+    """The limit in force: zero or less means the default, and one under a floor the floor."""
+    limit = max(floor, limit if limit > 0 else MAX_CHARS)
+    return max(STRICT_FLOOR, limit) if strict else limit
 
-    A limit of zero or less means the default, and one under ``floor`` the floor.
 
-    ``strict`` is the second rule set: a floor of 400 characters and wrapped pieces that are
-    never joined with what follows.
+def text_pieces(normal: Column, limit: int, *, strict: bool = False) -> Column:
+    """Array of (text, size, fresh): the sentences of a normalised text, over-long ones cut.
+
+    A ``fresh`` piece begins a chunk even where it would fit into the one before it.
     """
-    limit = max(floor, limit if limit > 0 else MAX_CHARS)
-    if strict:
-        limit = max(STRICT_FLOOR, limit)
-    normal = normalise_text(text)
 
     def pieces(sentences: Column) -> Column:
         # Sentences that need cutting are rare: look for one before taking the long way.
@@ -153,7 +153,24 @@ def chunk_text(
             F.flatten(F.transform(sentences, lambda s: _as_pieces(s, limit, strict))),
         ).otherwise(F.transform(sentences, lambda s: _piece(s, F.lit(False))))
 
-    packed = bind(bind(_segments(normal), pieces), lambda p: _joined(p, _chunk_starts(p, limit)))
+    return bind(_segments(normal), pieces)
+
+
+def chunk_text(
+    text: Column, limit: int = MAX_CHARS, *, strict: bool = False, floor: int = 0
+) -> Column:
+    """Array of chunks of at most ``limit`` characters, filled greedily with sentences.
+
+    A limit of zero or less means the default, and one under ``floor`` the floor.
+
+    ``strict`` is the second rule set: a floor of 400 characters and wrapped pieces that are
+    never joined with what follows.
+    """
+    limit = chunk_limit(limit, strict=strict, floor=floor)
+    normal = normalise_text(text)
+    packed = bind(
+        text_pieces(normal, limit, strict=strict), lambda p: _joined(p, _chunk_starts(p, limit))
+    )
     # Most texts fit into one chunk and need neither the segments nor the fold.
     chunks = F.when(F.length(normal) <= limit, F.array(trim_ws(normal))).otherwise(packed)
     return F.filter(chunks, lambda chunk: chunk != "")

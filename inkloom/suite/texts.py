@@ -11,6 +11,7 @@ from inkloom.functions import markup, strings
 from inkloom.functions.sentences import hard_wrap, sentence_split
 from inkloom.functions.vectors import quantise_i16
 from inkloom.operators import chunks as ops
+from inkloom.operators.packing import chunks_of_parts, text_parts
 from inkloom.session import shared_folder
 from inkloom.sinks import write_text_files
 from inkloom.sources.texts import text_inputs
@@ -284,6 +285,20 @@ _chunk_query("chunk_text_strict", 1800, strict=True)
 _chunk_query("chunk_text_strict_floor", 400, strict=True)
 
 
+def _parts_query(name: str, limit: int, chars: int, strict: bool = False):
+    ctes = chunk_ctes(limit, strict)
+
+    @query(name, f"WITH RECURSIVE {ctes} SELECT doc_id, part_no, text, n_chars FROM chunks")
+    def run(spark, sf_dir) -> DataFrame:
+        """The chunks of documents that are stored in rows of ``chars`` characters."""
+        parts = text_parts(table(spark, sf_dir, "documents"), chars)
+        return chunks_of_parts(parts, limit, strict=strict)
+
+
+_parts_query("chunk_parts", 1800, 5000)
+_parts_query("chunk_parts_strict", 400, 700, strict=True)
+
+
 @query(
     "hard_wrap",
     f"""WITH RECURSIVE {wrap_ctes(40)}
