@@ -10,7 +10,7 @@ importance 1 - log_m(c). A node's importance is
 so a branch that shows the same in every page is worth nothing. Branches and texts of hardly any
 importance are removed. What markup itself names as no article (menus, forms, adverts and so on)
 is removed first, and an article or main element, where a page has one, is what is extracted: the
-tree then decides about the branches inside it, not about single texts, which may well repeat.
+tree then decides about the branches and texts inside it.
 
 Only counts by host, path and text hash are shuffled. The low-importance nodes are few a host;
 they are broadcast if their count is checked to be small, else joined with hot hosts salted.
@@ -84,9 +84,12 @@ DIGITS = re.compile(r"[0-9]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 DECAY = 0.9
-MIN_PAGES = 8
+#: Fewer different pages of a host tell nothing: what all of them show may be chance.
+MIN_PAGES = 4
 MIN_IMPORTANCE = 0.05
 BROADCAST_ROWS = 50_000
+# Fixed value: the depth to which browsers nest elements; content counts for so many around it.
+MOST_DEPTH = 512
 
 #: How a node stands to the article: no part of it, unknown, or inside main content.
 NOISE, PLAIN, MAIN = 0, 1, 2
@@ -95,6 +98,19 @@ NOISE, PLAIN, MAIN = 0, 1, 2
 WHOLE, TEXT, ORDER, WAY = range(4)
 
 
+#: The removable paths down to a place as a chain: the chain above and the innermost path.
+Branches = tuple["Branches", int] | None
+
+
+def branches_of(chain: Branches) -> list[int]:
+    """The paths of a chain, innermost first."""
+    found: list[int] = []
+    while chain is not None and len(found) < MOST_DEPTH:
+        chain, path = chain
+        found.append(path)
+    return found
+
+
 @dataclass(frozen=True)
 class Block:
     """One run of text between block boundaries. ``doubt`` is the innermost doubtful element
@@ -103,7 +119,7 @@ class Block:
 
     text: str
     path: int
-    branches: tuple[int, ...]
+    branches: Branches
     state: int
     doubt: int = -1
     main_doubt: int = -1
@@ -121,11 +137,11 @@ class Node:
     def __init__(self, tag: str, label: str, above: Node | None, state: int):
         self.tag, self.label, self.state = tag, label, state
         self.path = hashed(label if above is None else f"{above.path} {label}")
-        branches = () if above is None or above.state != state else above.branches
+        branches = None if above is None or above.state != state else above.branches
         plain = tag in ("html", "body") or (
             state == MAIN and (" " not in label or tag in ("article", "main"))
         )
-        self.branches = branches if plain else (*branches[-63:], self.path)
+        self.branches = branches if plain else (branches, self.path)
         self.children: list[str] = []
         self.doubt, self.main_doubt = (-1, -1) if above is None else (above.doubt, above.main_doubt)
         self.in_article = tag == "article" or (above is not None and above.in_article)
@@ -205,7 +221,8 @@ class Page:
         """Makes noise of the doubtful elements that do not wrap the page.
 
         One wraps it that holds most of the page's text or most of the text of the articles, by
-        the articles that begin in it; one of replies only if no article has text outside.
+        the articles that begin in it. One of replies does not by its length: all articles must
+        begin in it or, where there is none, most of the text of main elements.
         """
         if not self.doubts:
             return
@@ -231,7 +248,8 @@ class Page:
         noise: list[bool] = []
         for k, (around, reply) in enumerate(self.doubts):
             wraps = 2 * inside[k] > every or 2 * mains[k] > main
-            wraps = wraps and not (reply and article > articles[k])
+            if reply:
+                wraps = articles[k] == article if article else 2 * mains[k] > main
             noise.append(not wraps or (around >= 0 and noise[around]))
         self.blocks = [
             replace(b, state=NOISE) if b.doubt >= 0 and noise[b.doubt] else b for b in self.blocks
@@ -246,7 +264,7 @@ class Page:
                 where = (
                     (node.path, node.branches, node.state, node.doubt, node.main_doubt, node.in_article)
                     if node
-                    else (0, (), PLAIN)
+                    else (0, None, PLAIN)
                 )
                 self.blocks.append(Block(text, *where))
                 if node:
@@ -287,7 +305,10 @@ class Page:
     def _read(self, source: str) -> None:
         at, end = 0, len(source)
         last = source.rfind(">")
-        skipped: str | None = None  # an inline element that is no text, such as a button
+        # An inline element that is no text, such as a button; whether its own end tag comes next
+        # of its kind, and how many blocks are open inside it.
+        skipped: str | None = None
+        ends, inner = False, 0
         while at < end:
             # No tag ends after the last ">"; a comment may still begin there and never end.
             m = TAG.search(source, at, last + 1) or COMMENT.search(source, max(at, last - 3))
@@ -309,7 +330,13 @@ class Page:
             if skipped is not None:
                 if closing and tag == skipped:
                     skipped = None
-                continue
+                    continue
+                if tag in BLOCKS and tag != "hr":
+                    inner += -1 if closing else 1
+                # One that is never closed ends at the next block, any at its parent's end.
+                if tag not in BLOCKS or (ends and inner >= 0):
+                    continue
+                skipped = None
             if closing:
                 if tag in BLOCKS:
                     self._flush()
@@ -331,24 +358,37 @@ class Page:
             elif tag == "br":
                 self.pieces.append(" ")
             elif tag in NOISE_TAGS and not rest.endswith("/"):
-                skipped = tag
+                found = re.compile(rf"<(/?){tag}(?=[\s/>])", re.IGNORECASE).search(source, at)
+                skipped, inner = tag, 0
+                ends = found is not None and bool(found.group(1))
 
 
 def kept_blocks(page: Page, paths: frozenset[int], texts: frozenset[int]) -> list[str]:
-    """Texts of the article, in page order.
+    """Texts of the article, in page order; none if all of the page is like the host's others.
 
-    ``paths`` are low-importance branches of the host, ``texts`` low-importance texts. Where they
-    would leave nothing, the page is like the host's others throughout, and they tell nothing.
+    ``paths`` are low-importance branches of the host, ``texts`` low-importance texts.
     """
     blocks = [b for b in page.blocks if b.state != NOISE]
     main = [b for b in blocks if b.state == MAIN]
-    left = [
+    #: Whether a place lies in a low branch, kept for each place that was looked at.
+    low: dict[int, bool] = {id(None): False}
+
+    def removed(chain: Branches) -> bool:
+        below: list[Branches] = []
+        while id(chain) not in low:
+            below.append(chain)
+            chain = chain[0]
+        found = low[id(chain)]
+        for place in reversed(below):
+            found = low[id(place)] = found or place[1] in paths
+        return found
+
+    return [
         b.text
         for b in main or blocks
-        if not (paths and paths.intersection(b.branches))
-        and (main or not texts or hashed(f"{b.path} {b.text}") not in texts)
+        if not (paths and removed(b.branches))
+        and (not texts or hashed(f"{b.path} {b.text}") not in texts)
     ]
-    return left or [b.text for b in main or blocks]
 
 
 def extracted(source: str | None, paths: frozenset[int], texts: frozenset[int]) -> str:
@@ -373,7 +413,7 @@ def style_counts(pages: DataFrame) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shown: dict[tuple, None] = {}
-            ways: dict[tuple[str, int], tuple[int, ...]] = {}
+            ways: dict[tuple[str, int], list[int]] = {}
             for host, source in zip(batch["host"], batch["html"], strict=True):
                 host, page = host.as_py(), Page(source.as_py())
                 blocks = [b for b in page.blocks if b.state != NOISE and b.path]
@@ -381,11 +421,12 @@ def style_counts(pages: DataFrame) -> DataFrame:
                 shown[host, 0, 0, whole, WHOLE] = None
                 for b in blocks:
                     shown[host, b.path, hashed(f"{b.path} {b.text}"), whole, TEXT] = None
-                    ways.setdefault((host, b.path), b.branches)
+                    if (host, b.path) not in ways:
+                        ways[host, b.path] = branches_of(b.branches)
                 for path, order in page.orders:
                     shown[host, path, order, whole, ORDER] = None
             rows = [(*key, None) for key in shown]
-            rows += [(h, p, None, None, WAY, list(way)) for (h, p), way in ways.items()]
+            rows += [(h, p, None, None, WAY, way) for (h, p), way in ways.items()]
             columns = list(zip(*rows, strict=True)) or [()] * 6
             kinds = (pa.string(), *[pa.int64()] * 3, pa.int32(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(

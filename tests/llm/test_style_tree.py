@@ -68,6 +68,84 @@ def pages(n=20, host="h.example"):
     ]
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<article><p>a<button>x<p>b</p><p>c</p></article>", "a\nb\nc"),
+        ("<article><div>a<video src=v></div><p>b</p></article>", "a\nb"),
+        ("<article><p>a<button>x<p>b<button>y</button> z</article>", "a\nb z"),
+        ("<article><p>a <button><div>no</div>text</button>b</p></article>", "a b"),
+        ("<p>short</p><div class=comments><p>a much longer comment</p><p>and another</p></div>", "short"),
+        ("<div class=comments><main><p>all of it</p></main></div>", "all of it"),
+        ("<nav>menu</nav><footer>foot</footer>", ""),
+    ],
+)
+def test_unclosed_inline_noise_and_replies(html, text):
+    assert extracted(html, NONE, NONE) == text
+
+
+def test_boilerplate_inside_articles_goes(spark):
+    notice = "<p>Subscribe to our newsletter today</p><ul><li>Home</li><li>Shop</li></ul>"
+    rows = [
+        (100 * h + k, f"https://h{h}.example/{k}", f"<article><h1>Title {h} {k}</h1><p>Story {k} of {h}</p>{notice}</article>")
+        for h, n in ((1, 40), (2, 7), (3, 4), (4, 2)) for k in range(n)
+    ]
+    rows.append((900, "https://h1.example/menu", f"<article>{notice}</article>"))
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in style_tree.main_text(frame).collect()}
+    assert {k: t for k, t in got.items() if k < 400} == {
+        100 * h + k: f"Title {h} {k}\nStory {k} of {h}" for h, n in ((1, 40), (2, 7), (3, 4)) for k in range(n)
+    }
+    assert got[900] == "" and got[400].startswith("Title 4 0\nStory 0 of 4\nSubscribe")
+
+
+def test_branches_of_deep_pages(spark):
+    deep = lambda inside: "<div>" * 200 + inside + "</div>" * 200
+    rows = [
+        (k, f"https://deep.example/{k}", f"<body><div class=top>{deep('<p>Welcome to us</p>')}</div><p>Story {k}</p>")
+        for k in range(12)
+    ]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    low = {r.node for r in style_tree.low_importance(frame).filter("not is_text").collect()}
+    top = style_tree.branches_of(Page(rows[0][2]).blocks[0].branches)
+    assert len(top) == 202 and top[-1] in low
+    assert extracted(rows[0][2], frozenset([top[-1]]), NONE) == "Story 0"
+
+
+def importance_by_hand(pages_of_host):
+    """Importance of every text and branch by counting over whole pages, in plain Python."""
+    import math
+
+    seen = {"\n".join(b.text for b in p.blocks): p for p in pages_of_host}
+    m, texts, orders, ways = len(seen), {}, {}, {}
+    for whole, page in seen.items():
+        for b in page.blocks:
+            texts.setdefault((b.path, style_tree.hashed(f"{b.path} {b.text}")), set()).add(whole)
+            ways[b.path] = style_tree.branches_of(b.branches)
+        for path, order in page.orders:
+            orders.setdefault(path, {}).setdefault(order, set()).add(whole)
+    worth = {key: 1 - math.log(len(n)) / math.log(m) for key, n in texts.items()}
+    low = {(item, True) for (_, item), value in worth.items() if value < style_tree.MIN_IMPORTANCE}
+    for node in {n for way in ways.values() for n in way}:
+        below = [value for (path, _), value in worth.items() if node in ways[path]]
+        counts = [len(n) for n in orders[node].values()]
+        if sum(counts) < style_tree.MIN_PAGES:
+            continue
+        spread = -sum(c / sum(counts) * math.log(c / sum(counts)) for c in counts) / math.log(m)
+        weight = style_tree.DECAY ** len(counts)
+        value = (1 - weight) * min(1.0, spread) + weight * sum(below) / len(below)
+        if value < style_tree.MIN_IMPORTANCE:
+            low.add((node, False))
+    return low
+
+
+def test_importance_equals_a_count_by_hand(spark):
+    frame = spark.createDataFrame(pages(13) + pages(5, "k.example"), "page_id bigint, url string, html string")
+    got = {(r.node, r.is_text) for r in style_tree.low_importance(frame).collect()}
+    by_host = [importance_by_hand([Page(html) for _, _, html in pages(n)]) for n in (13, 5)]
+    assert got == by_host[0] | by_host[1] and len(got) > 3
+
+
 def test_shared_branches_and_texts_go(spark):
     frame = spark.createDataFrame(pages(), "page_id bigint, url string, html string")
     got = {r.page_id: r.text for r in style_tree.main_text(frame).collect()}
