@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkloom.llm.common import packed, pick, unpacked
+from inkloom.operators.keyed import lookup_join
 from inkloom.session import cut_lineage
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -31,12 +32,28 @@ CELLS = 4096
 CHUNK = 1 << 15
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, mix_key): words of the whole text and the place in the shuffle."""
-    rows = pick(docs, doc_id="bigint", text="string", source="string")
+def _row_keyed(docs: DataFrame) -> DataFrame:
+    """Packed rows with ``mix_row``, which rows share that are alike in every column."""
+    alike = F.xxhash64("doc_id", "text", F.to_json("row"))
+    key = F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), alike.alias("alike"))
+    return packed(docs).withColumn("mix_row", key)
+
+
+def sized(docs: DataFrame, *, by_row: bool = False) -> DataFrame:
+    """(doc_id, source, size, mix_key): words of the whole text and the place in the shuffle.
+
+    ``by_row`` adds ``mix_row``, what a row is found by when its words have been dealt.
+    """
+    if by_row:
+        at = docs.columns.index("source") if "source" in docs.columns else None
+        source = F.lit(None) if at is None else F.col(f"row._{at}")
+        rows = _row_keyed(docs).withColumn("source", source.cast("string"))
+    else:
+        rows = pick(docs, doc_id="bigint", text="string", source="string")
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("bigint")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    return rows.select("doc_id", "source", size.alias("size"), key.alias("mix_key"))
+    own = ["mix_row"] if by_row else []
+    return rows.select("doc_id", "source", size.alias("size"), key.alias("mix_key"), *own)
 
 
 def source_targets(
@@ -93,7 +110,8 @@ def _placed(docs: DataFrame, sources: DataFrame) -> DataFrame:
         F.col("bucket").alias("o_bucket"),
         _running(F.col("total"), Window.partitionBy("source").orderBy("bucket")).alias("offset"),
     ).join(sources, F.col("o_source").eqNullSafe(F.col("source")))
-    within = Window.partitionBy("source", "bucket").orderBy("mix_key", "doc_id", "size")
+    own = [name for name in docs.columns if name == "mix_row"]
+    within = Window.partitionBy("source", "bucket").orderBy("mix_key", "doc_id", "size", *own)
     return (
         chunked.withColumn("within", _running(F.col("size"), within))
         .join(
@@ -102,7 +120,7 @@ def _placed(docs: DataFrame, sources: DataFrame) -> DataFrame:
         )
         .select(
             "doc_id", "size", "s", "source_size", "target", "block_words", "blocks",
-            (F.col("offset") + F.col("within")).alias("start"),
+            (F.col("offset") + F.col("within")).alias("start"), *own,
         )
     )
 
@@ -166,10 +184,10 @@ def _slots(sources: DataFrame, count: int, most: int) -> DataFrame:
 
 def _laid_out(
     docs: DataFrame, weights: Sequence[int], share: float, most: int,
-    block_words: int, min_blocks: int,
+    block_words: int, min_blocks: int, by_row: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Placed documents, and the schedule joined with the words of each block."""
-    thin = cut_lineage(sized(docs))
+    thin = cut_lineage(sized(docs, by_row=by_row))
     words = thin.groupBy("source").agg(F.sum("size").alias("source_size"))
     length = F.greatest(
         F.lit(1),
@@ -235,21 +253,23 @@ def taken_words(
     )
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
+def mixed(
+    docs: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: int = 2,
+    block_words: int = 1024, min_blocks: int = 256,
+) -> DataFrame:
     """The rows of ``docs`` that the mix takes words from, with ``mix_target`` and ``mix_taken``.
 
-    Rows that repeat a doc_id are one document here and share the words taken from it.
+    Every row has what is taken from it alone, also among rows that share a doc_id or have none.
+    Rows that are alike in all columns are as many as were taken from.
     """
-    taken = (
-        taken_words(docs, **how)
-        .groupBy("doc_id")
-        .agg(F.max("target").alias("mix_target"), F.sum("taken").alias("mix_taken"))
-        .filter("mix_taken > 0")
-        .withColumnRenamed("doc_id", "taken_id")
-    )
-    found = packed(docs).join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")))
-    names = [*docs.columns, "mix_target", "mix_taken"]
+    placed, dealt = _laid_out(docs, weights, share, most, block_words, min_blocks, by_row=True)
+    taken = dealt.groupBy("s", "start").agg(F.sum(F.col("to") - F.col("from")).alias("mix_taken"))
+    found = placed.filter("size > 0").join(taken.filter("mix_taken > 0"), ["s", "start"])
+    found = found.select("mix_row", "s", "start", F.col("target").alias("mix_target"), "mix_taken")
+    # Rows that are alike are one here and come back once for each row taken from.
+    rows = _row_keyed(docs).dropDuplicates(["mix_row"])
+    both = lookup_join(cut_lineage(found), rows, "mix_row", spread=["s", "start"], how="inner")
     return unpacked(
-        found.withColumn("row", F.col("row")), names,
+        both, [*docs.columns, "mix_target", "mix_taken"],
         mix_target=F.col("mix_target"), mix_taken=F.col("mix_taken"),
     )

@@ -82,3 +82,22 @@ def test_awkward_rows(spark):
     assert all(r.mix_taken > 0 for r in mixed.collect())
     assert mixing.taken_words(cases.frame(spark, [])).count() == 0
     assert [tuple(r) for r in mixing.taken_words(cases.frame(spark, [(1, None, None, None, None)])).collect()] == [(1, 0, 0, 0.0, 0)]
+
+
+def test_mixed_rows_of_one_id_have_their_own_words(spark):
+    """Rows of one id, of none and alike rows: what each has is what the schedule takes from it."""
+    table = [(1, words(1), None, "a", None), (1, words(300), None, "a", None)]
+    table += [(None, words(k), None, "b", k) for k in (1, 40, 500)] + [(None, words(2), None, "c", None)]
+    table += [(7, words(50), None, "d", None)] * 20 + [(8, None, None, "d", None)]
+    docs = cases.frame(spark, table)
+    mixed = mixing.mixed(docs).collect()
+    assert all(0 < r.mix_taken <= 2 * len(r.text.split()) for r in mixed)
+    taken = sorted((r.doc_id or -1, r.size, r.taken) for r in mixing.taken_words(docs).collect() if r.taken)
+    assert sorted((r.doc_id or -1, len(r.text.split()), r.mix_taken) for r in mixed) == taken
+    assert mixing.mixed(cases.frame(spark, [])).count() == 0
+
+
+def test_schedule_runs_without_python(spark):
+    for frame in (mixing.taken_words(cases.frame(spark, rows())), mixing.mixed(cases.frame(spark, rows()))):
+        plan = frame._jdf.queryExecution().toString()
+        assert not any(name in plan for name in ("Python", "Pandas", "MapInArrow"))
