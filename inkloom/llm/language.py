@@ -2,8 +2,8 @@
 unseen word by the longest of its character n-grams that any language knows.
 
 The model is fitted on a bounded sample of labelled rows (``docs_a_language`` by a hash of the
-id and text) and has at most ``max_words`` words and ``max_grams`` n-grams of each length, so its
-broadcast size is bounded. Prediction reads every text whole.
+id and text) and has at most ``max_words`` words and ``max_grams`` n-grams of each length, an equal
+part for each language, so its broadcast size is bounded. Prediction reads every text whole.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,13 @@ MEMO = 50_000
 
 
 def words_of(text: str) -> Counter:
-    return Counter(WORD.findall(text.lower()))
+    """Runs of letters, lower-cased. Numerals such as ½ or Ⅷ are no letters and part words."""
+    found = Counter(WORD.findall(text.lower()))
+    for word in [w for w in found if not w.isalpha()]:
+        count = found.pop(word)
+        for run in "".join(c if c.isalpha() else " " for c in word).split():
+            found[run] += count
+    return found
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -93,20 +100,19 @@ def _logs(rows: Iterable[tuple[str, list[int]]], langs: int) -> tuple[dict[str,
 
 
 def _counted(frame: DataFrame, langs: list[str], top: int) -> list[tuple[str, list[int]]]:
-    """The ``top`` most frequent features seen at least twice, counts by language."""
+    """Features seen at least twice, counts by language: an equal part of ``top`` for the most
+    frequent ones of each language, so a small language keeps as many as a large one."""
+    own = [f"n{k}" for k in range(len(langs))]
     per_lang = [
-        F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{k}")
-        for k, lang in enumerate(langs)
+        F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(name)
+        for name, lang in zip(own, langs, strict=True)
     ]
-    rows = (
-        frame.groupBy("feature")
-        .agg(F.sum("n").alias("total"), *per_lang)
-        .filter("total >= 2")
-        .orderBy(F.desc("total"), "feature")
-        .limit(top)
-        .select("feature", *[f"n{k}" for k in range(len(langs))])
-        .collect()
-    )
+    wide = cut_lineage(
+        frame.groupBy("feature").agg(F.sum("n").alias("total"), *per_lang).filter("total >= 2")
+    ).select("feature", *own)
+    share = max(1, top // len(langs))
+    best = [wide.filter(F.col(n) > 0).orderBy(F.desc(n), "feature").limit(share) for n in own]
+    rows = reduce(DataFrame.unionByName, best).distinct().orderBy("feature").collect()
     return [(row[0], list(row[1:])) for row in rows]
 
 
