@@ -6,7 +6,8 @@ document names an item and where its start would be, and the text around that pl
 by Myers' algorithm, whose columns are Python integers as long as the item.
 
 Items and documents are compared by their letters and digits: lower-cased, everything else one
-space. The items are taken in blocks of ``ITEMS_A_BLOCK``, so what is broadcast is bounded, and
+space, with a space before and after. So an item is whole words: without a budget it is never found
+inside a word, and what a word's rest adds to an end counts as an edit. The items are taken in blocks of ``ITEMS_A_BLOCK``, so what is broadcast is bounded, and
 each block is a pass over the documents.
 """
 
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 from inkloom.llm.common import packed, pick, unpacked
 
+#: What stands before and after items and texts, so that their ends are the ends of words.
+EDGE = " "
 TOKEN = re.compile(r"[^\W_]+")
 ITEMS_A_BLOCK = 5_000
 MATCH = "array<struct<item_id: bigint, distance: int, start: bigint, stop: bigint>>"
@@ -93,8 +96,10 @@ class Matcher:
     """The automaton over one block of items; built once in each Python worker."""
 
     def __init__(self, items: list[tuple[int, str]], share: float):
-        self.items = items
+        # The budget is a share of the item, not of the edges.
         self.budgets = [edit_budget(len(text), share) for _, text in items]
+        items = [(item_id, f"{EDGE}{text}{EDGE}") for item_id, text in items]
+        self.items = items
         self.bits = [pattern_bits(text) for _, text in items]
         self.reverse = [pattern_bits(text[::-1]) for _, text in items]
         places: dict[str, list[tuple[int, int]]] = {}
@@ -114,7 +119,7 @@ class Matcher:
         """
         if not text or not len(self.automaton):
             return []
-        plain = normal(text)
+        plain = f"{EDGE}{normal(text)}{EDGE}"
         best: dict[int, tuple[int, int, int]] = {}
         tried: dict[int, int] = {}
         for last, own in self.automaton.iter(plain):
@@ -137,10 +142,14 @@ class Matcher:
         if not best:
             return []
         starts, stops = original_spans(text)
-        return [
-            (self.items[k][0], distance, starts[a], stops[max(a, b - 1)])
-            for k, (distance, a, b) in sorted(best.items())
-        ]
+        spans = []
+        for k, (distance, a, b) in sorted(best.items()):
+            # The match without the spaces at its ends, counted in the text without its edge.
+            matched = plain[a:b]
+            first = a + len(matched) - len(matched.lstrip()) - len(EDGE)
+            last = max(first, b - len(matched) + len(matched.rstrip()) - len(EDGE) - 1)
+            spans.append((self.items[k][0], distance, starts[first], stops[last]))
+        return spans
 
 
 def myers_whole(bits: dict[str, int], length: int, text: str) -> tuple[int, int]:

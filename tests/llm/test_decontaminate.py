@@ -53,7 +53,7 @@ def test_every_match_within_the_budget_is_found():
     for edits in range(0, budget + 6):
         for _ in range(10):
             text = f"{filler} {edited(rng, item, edits)} {filler}"
-            best = search(item, normal(text))
+            best = search(f" {item} ", f" {normal(text)} ")
             found = matcher.matches(text)
             assert bool(found) == (best <= budget)
             if found:
@@ -95,3 +95,34 @@ def test_blocks_of_items_do_not_change_the_result(spark, monkeypatch, size):
     empty = bench.filter("item_id < 0")
     assert decontaminate.contaminated(docs, empty).count() == 0
     assert decontaminate.uncontaminated(docs, empty).count() == docs.count()
+
+
+def test_short_items_are_whole_words(spark):
+    texts = ["a party of eyes", "the art of it", "yes", "Say: YES!", "smart", "art", "no art, yes", "partial art-y yesterday"]
+    docs = cases.frame(spark, [(k, t, None, None, None) for k, t in enumerate(texts)])
+    bench = spark.createDataFrame([(1, "art"), (2, "Yes"), (3, "of it")], "item_id bigint, text string")
+    found = decontaminate.contaminated(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(1, 1), (1, 3), (2, 2), (3, 2), (5, 1), (6, 1), (6, 2), (7, 1)]
+    assert all(r.distance == 0 and normal(texts[r.doc_id][r.start : r.stop]) in ("art", "yes", "of it") for r in found)
+    assert sorted(r.doc_id for r in decontaminate.uncontaminated(docs, bench).collect()) == [0, 4]
+
+
+def test_no_documents(spark):
+    bench = spark.createDataFrame([(1, "art")], "item_id bigint, text string")
+    docs = cases.frame(spark, [])
+    assert decontaminate.contaminated(docs, bench).count() == 0
+    assert decontaminate.uncontaminated(docs, bench).count() == 0
+
+
+def test_items_of_every_length_against_the_table():
+    """Random items of 1 to 60 characters in random texts: found if and only if within the budget."""
+    rng = random.Random(9)
+    for _ in range(300):
+        item = normal(" ".join("".join(rng.choices("abc", k=rng.randint(1, 5))) for _ in range(rng.randint(1, 12))))
+        text = " ".join("".join(rng.choices("abc", k=rng.randint(1, 5))) for _ in range(30))
+        if rng.random() < 0.6:
+            text = f"{text} {edited(rng, item, rng.randint(0, 3))} {text}"
+        best = search(f" {item} ", f" {normal(text)} ")
+        found = Matcher([(1, item)], 0.1).matches(text)
+        assert bool(found) == (best <= edit_budget(len(item), 0.1))
+        assert not found or found[0][1] == best
