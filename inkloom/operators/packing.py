@@ -12,6 +12,7 @@ as many rounds as the logarithm of a document's slabs. With its entry known a sl
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkloom.functions.sentences import MAX_CHARS, SAFE_CUT, chunk_limit, normalise_text, text_pieces
-from inkloom.functions.strings import trim_ws
+from inkloom.functions.strings import UNICODE_SPACE, trim_ws
 from inkloom.operators.extract import settle
-from inkloom.operators.keyed import null_safe_join, numbered, running_sum
+from inkloom.operators.keyed import null_safe_join, running_sum
 from inkloom.session import cut_lineage
 
 # Workers get these functions with the plan and need no copy of the package.
@@ -36,9 +37,10 @@ SLAB_CHARS = 1 << 20
 def recut(parts: DataFrame, key: str, order: str, text: str) -> DataFrame:
     """(key, at, text): the same documents in rows that begin and end between sentences.
 
-    A part that holds safe cuts keeps what lies between its first and last one; what is left of it
-    meets the rest of its neighbours. Only text without any such cut is joined into one row, which
-    is as long as the sentence it may be.
+    A part that holds safe cuts keeps what lies between its first and last one, and that is not
+    moved; what is left of it meets the rest of its neighbours. Only text without any such cut is
+    joined into one row, which is as long as the sentence it may be. ``at`` is the part and the
+    place in it that a row begins at.
     """
     source = parts.select(key, F.col(order).alias("_order"), F.coalesce(text, F.lit("")).alias("_text"))
     cut = settle(
@@ -46,32 +48,50 @@ def recut(parts: DataFrame, key: str, order: str, text: str) -> DataFrame:
         _head=F.regexp_extract("_text", rf"(?s)\A(.*?{SAFE_CUT})", 1),
         _upto=F.length(F.regexp_extract("_text", rf"(?s)\A(.*{SAFE_CUT})", 1)),
     )
-    cut = cut_lineage(cut)
     has_cut = F.col("_upto") > 0
-    # How many parts with a cut stand before: the number of the stretch a part begins in.
-    at = running_sum(cut.select(key, "_order", "_upto"), [key], "_order", has_cut.cast("bigint"), "_cuts")
-    placed = null_safe_join(cut, at.drop("_upto"), [key, "_order"])
     body = F.expr("substring(_text, length(_head) + 1, _upto - length(_head))")
-    tail = F.expr("substring(_text, _upto + 1)")
-    inner = placed.filter(has_cut).select(key, (2 * F.col("_cuts") + 1).alias("at"), body.alias("text"))
-    loose = placed.select(
-        key,
-        "_order",
-        F.explode(
-            F.when(
-                has_cut,
-                F.array(
-                    F.struct((2 * F.col("_cuts")).alias("at"), F.col("_head").alias("text")),
-                    F.struct((2 * F.col("_cuts") + 2).alias("at"), tail.alias("text")),
-                ),
-            ).otherwise(F.array(F.struct((2 * F.col("_cuts")).alias("at"), F.col("_text").alias("text"))))
-        ).alias("_own"),
-    ).select(key, "_own.at", F.struct("_order", F.col("_own.text").alias("text")).alias("_own"))
-    joined = loose.groupBy(key, "at").agg(F.array_sort(F.collect_list("_own")).alias("_own"))
-    joined = joined.select(key, "at", F.array_join("_own.text", "").alias("text"))
+    inner = cut.filter(has_cut).select(key, F.struct("_order", F.lit(1).alias("_n")).alias("at"), body.alias("text"))
+    # The rest: a head ends the stretch before it, a tail begins one, a part without cut is within.
+    rest = F.array(
+        F.struct(F.lit(0).alias("_n"), F.when(has_cut, F.col("_head")).otherwise(F.col("_text")).alias("_own")),
+        F.struct(F.lit(2).alias("_n"), F.when(has_cut, F.expr("substring(_text, _upto + 1)")).alias("_own")),
+    )
+    loose = cut.select(key, "_order", F.explode(rest).alias("_rest")).filter("_rest._own is not null")
+    loose = cut_lineage(loose.select(key, F.struct("_order", "_rest._n").alias("_at"), F.col("_rest._own").alias("_own")))
+    begins = (F.col("_at._n") == 2).cast("bigint")
+    stretches = running_sum(loose, [key], "_at", begins, "_before").withColumn("_no", F.col("_before") + begins)
+    joined = stretches.groupBy(key, "_no").agg(F.array_sort(F.collect_list(F.struct("_at", "_own"))).alias("_all"))
+    joined = joined.select(key, F.get("_all", F.lit(0))["_at"].alias("at"), F.array_join("_all._own", "").alias("text"))
     return inner.unionByName(joined).filter(F.col("text") != "")
 
 
+def _dealt(limit: int, slab_chars: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each piece of a unit, with its position and its slab; the first ones of a slab twice."""
+    for batch in batches:
+        units = batch["_pieces"]
+        pieces = units.flatten()
+        owner = pc.list_parent_indices(units).to_numpy()
+        size = pieces.field("size").to_numpy().astype(np.int64)
+        before = np.append(0, np.cumsum(size))[:-1]
+        begins = np.searchsorted(owner, owner)
+        at = batch["_offset"].to_numpy()[owner] + before - before[begins] if len(owner) else before
+        slab = at // slab_chars
+        near = np.flatnonzero((slab > 0) & (at - slab * slab_chars <= limit + 1))
+        rows = np.append(np.arange(len(at)), near)
+        taken = pa.array(rows)
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch["_key"].take(pa.array(owner[rows])),
+                pa.array(np.append(slab, slab[near] - 1)),
+                pa.array(at[rows]),
+                pieces.field("text").take(taken),
+                pa.array(size[rows]),
+                pieces.field("fresh").take(taken),
+            ],
+            names=["_key", "_slab", "_at", "_text", "_size", "_fresh"],
+        )
+
+
 def _next_positions(table: pa.Table, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the pieces that hold text, in order, and the index of the next chunk's start
     if one starts there; their number stands for the end of what is known."""
@@ -87,62 +107,70 @@ def _next_positions(table: pa.Table, limit: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _crossings(limit: int, slab_chars: int, key_type: pa.DataType, keys: tuple, table: pa.Table) -> pa.Table:
-    """Where a chunk that begins at an entry of the slab leads: the first start beyond the slab."""
+    """Where a chunk that begins at an entry of the slab leads, the first start beyond the slab,
+    and how many chunks that hold text begin in the slab on the way."""
     key, slab = keys
     slab = slab.as_py()
-    starts, follow = _next_positions(table.sort_by("_at"), limit)
+    table = table.sort_by("_at")
+    starts, follow = _next_positions(table, limit)
     inside = int(np.searchsorted(starts, (slab + 1) * slab_chars))
+    words = np.append(0, np.cumsum(table.filter(pc.greater(table["_size"], 0))["_words"].to_numpy()))
+    full = np.append(words[follow] > words[:-1], False).astype(np.int64)
     jump = np.append(follow, len(starts))
-    jump[inside:] = np.arange(inside, len(jump))
+    jump[inside:], full[inside:] = np.arange(inside, len(jump)), 0
     while (jump[:inside] < inside).any():
-        jump = jump[jump]
+        full, jump = full + full[jump], jump[jump]
     entries = starts[:inside] <= slab * slab_chars + limit + 1
-    left = jump[:inside][entries]
-    exits = np.append(starts, -1)[left]
-    rows = len(exits)
+    exits = np.append(starts, -1)[jump[:inside][entries]]
     return pa.table(
         {
-            "_key": pa.array([key.as_py()] * rows, key_type),
+            "_key": pa.array([key.as_py()] * len(exits), key_type),
             "_entry": pa.array(starts[:inside][entries], pa.int64()),
             "_exit": pa.array(exits, pa.int64(), mask=exits < 0),
+            "_full": pa.array(full[:inside][entries], pa.int64()),
         }
     )
 
 
-def _packed(limit: int, slab_chars: int, key_type: pa.DataType, keys: tuple, table: pa.Table) -> pa.Table:
-    """The chunks that begin in the slab, from its entry on."""
+def _packed(limit: int, slab_chars: int, key_type: pa.DataType, keys: tuple, table: pa.Table, entry: pa.Table) -> pa.Table:
+    """The chunks that begin in the slab, from its entry on, numbered from what is before it."""
     key, slab = keys
     table = table.sort_by("_at")
     starts, follow = _next_positions(table, limit)
     texts = table.filter(pc.greater(table["_size"], 0))["_text"]
     inside = int(np.searchsorted(starts, (slab.as_py() + 1) * slab_chars))
-    at = int(np.searchsorted(starts, table["_entry"][0].as_py())) if len(table) else 0
-    found: list[tuple[int, str]] = []
+    # A document begins at its first piece; a slab without an entry lies within one chunk.
+    first, base = (entry["_entry"][0].as_py(), entry["_base"][0].as_py()) if len(entry) else (0, 0)
+    at = int(np.searchsorted(starts, first)) if len(entry) or not slab.as_py() else inside
+    found: list[str] = []
     while at < inside:
         upto = int(follow[at])
-        found.append((int(starts[at]), "".join(texts.slice(at, upto - at).to_pylist())))
+        if chunk := "".join(texts.slice(at, upto - at).to_pylist()).strip(UNICODE_SPACE):
+            found.append(chunk)
         at = upto
     return pa.table(
         {
             "_key": pa.array([key.as_py()] * len(found), key_type),
-            "_start": pa.array([start for start, _ in found], pa.int64()),
-            "text": pa.array([text for _, text in found], pa.string()),
+            "part_no": pa.array(range(base + 1, base + 1 + len(found)), pa.int32()),
+            "text": pa.array(found, pa.string()),
         }
     )
 
 
 def _entries(crossings: DataFrame, first: DataFrame, most: int) -> DataFrame:
-    """All (_key, _entry) that lie on the path from the first ones, by doubling steps."""
-    reached, steps = first, crossings.filter(F.col("_exit").isNotNull())
+    """(_key, _entry, _base) for all entries on the path from the first ones, by doubling steps."""
+    reached = first
+    steps = crossings.filter(F.col("_exit").isNotNull()).select("_key", "_entry", "_exit")
     # After r rounds the first 2^r entries of every document are known.
-    for _ in range(max(0, most).bit_length()):
+    for _ in range(most.bit_length()):
         onward = null_safe_join(reached, steps, ["_key", "_entry"]).select("_key", F.col("_exit").alias("_entry"))
         reached = cut_lineage(reached.unionByName(onward))
         second = steps.select("_key", F.col("_entry").alias("_exit"), F.col("_exit").alias("_then"))
         steps = cut_lineage(
             null_safe_join(steps, second, ["_key", "_exit"]).select("_key", "_entry", F.col("_then").alias("_exit"))
         )
-    return reached
+    counted = null_safe_join(reached, crossings.drop("_exit"), ["_key", "_entry"])
+    return running_sum(cut_lineage(counted), ["_key"], "_entry", F.col("_full"), "_base")
 
 
 def chunks_of_parts(
@@ -166,50 +194,49 @@ def chunks_of_parts(
     limit = chunk_limit(limit, strict=strict, floor=floor)
     # A slab holds at least one piece, and a chunk leads to the next slab at most.
     slab_chars = max(slab_chars, 2 * (limit + 1))
-    units = recut(parts, key, order, text).withColumnRenamed(key, "_key")
-    pieces = units.select(
-        "_key", "at", F.posexplode(text_pieces(normalise_text(F.col("text")), limit, strict=strict)).alias("_k", "_piece")
-    )
-    pieces = cut_lineage(
-        pieces.select(
-            "_key",
-            F.struct("at", "_k").alias("_place"),
-            F.col("_piece.text").alias("_text"),
-            F.col("_piece.size").cast("bigint").alias("_size"),
-            F.col("_piece.fresh").alias("_fresh"),
-        )
-    )
-    placed = running_sum(pieces, ["_key"], "_place", F.col("_size"), "_at").drop("_place")
-    slab = F.floor(F.col("_at") / F.lit(slab_chars)).cast("bigint")
-    near = (slab > 0) & (F.col("_at") - slab * slab_chars <= limit + 1)
-    # What may end a chunk of the slab before is there as well.
-    slabs = cut_lineage(
-        placed.withColumn("_slab", F.explode(F.when(near, F.array(slab, slab - 1)).otherwise(F.array(slab))))
-    )
-    lengths = slabs.groupBy("_key").agg(F.max("_slab").alias("_last"))
-    long = cut_lineage(lengths.filter(F.col("_last") > 0))
+    units = cut_lineage(recut(parts, key, order, text).withColumnRenamed(key, "_key"))
+
+    def cut(frame: DataFrame, *own: str) -> DataFrame:
+        found = text_pieces(normalise_text(F.col("text")), limit, strict=strict)
+        return settle(frame, ["_key", "at", *own], _pieces=found)
+
+    # Texts are moved twice: to the number of characters before them, and to their slab.
+    sizes = cut(units).select("_key", "at", F.aggregate("_pieces.size", F.lit(0).cast("bigint"), lambda n, x: n + x).alias("_chars"))
+    places = running_sum(cut_lineage(sizes), ["_key"], "at", F.col("_chars"), "_offset")
+    places = cut_lineage(places)
+    last = F.floor((F.col("_offset") + F.col("_chars")) / F.lit(slab_chars)).cast("bigint")
+    long = cut_lineage(places.groupBy("_key").agg(F.max(last).alias("_last")).filter(F.col("_last") > 0))
     most = long.agg(F.max("_last")).first()[0]
-    kind = f"_key {slabs.schema['_key'].dataType.simpleString()}"
-    arrow_kind = slabs.select("_key").limit(0).toArrow().schema.field("_key").type
-    first = lengths.select("_key", F.lit(0).cast("bigint").alias("_entry"))
-    if most is not None:
-        thin = null_safe_join(slabs.drop("_text"), long.select("_key"), ["_key"])
+
+    kind = f"_key {units.schema['_key'].dataType.simpleString()}"
+    arrow_kind = units.select("_key").limit(0).toArrow().schema.field("_key").type
+
+    def in_slabs(some: DataFrame) -> DataFrame:
+        """The pieces of these places; what may end a chunk of the slab before is there as well."""
+        sized = cut(null_safe_join(units, some.select("_key", "at", "_offset"), ["_key", "at"]), "_offset")
+        rows = sized.select("_key", "_offset", "_pieces").mapInArrow(
+            lambda batches: _dealt(limit, slab_chars, batches),
+            f"{kind}, _slab bigint, _at bigint, _text string, _size bigint, _fresh boolean",
+        )
+        return rows.withColumn("_words", (trim_ws(F.col("_text")) != "").cast("bigint"))
+
+    if most is None:
+        entries = units.sparkSession.createDataFrame([], f"{kind}, _entry bigint, _base bigint")
+    else:
+        thin = in_slabs(null_safe_join(places, long.select("_key"), ["_key"])).drop("_text")
         crossings = thin.groupBy("_key", "_slab").applyInArrow(
             lambda keys, rows: _crossings(limit, slab_chars, arrow_kind, keys, rows),
-            f"{kind}, _entry bigint, _exit bigint",
+            f"{kind}, _entry bigint, _exit bigint, _full bigint",
         )
-        first = _entries(cut_lineage(crossings), first, most)
-    entries = first.withColumn("_slab", F.floor(F.col("_entry") / F.lit(slab_chars)).cast("bigint"))
-    filled = null_safe_join(slabs, entries, ["_key", "_slab"])
-    packed = filled.groupBy("_key", "_slab").applyInArrow(
-        lambda keys, rows: _packed(limit, slab_chars, arrow_kind, keys, rows),
-        f"{kind}, _start bigint, text string",
-    )
-    named = packed.select("_key", "_start", trim_ws(F.col("text")).alias("text")).filter(F.col("text") != "")
-    rows = numbered(cut_lineage(named), ["_key"], "_start", "part_no")
-    return rows.select(
-        F.col("_key").alias(key), F.col("part_no").cast("int").alias("part_no"), "text", F.length("text").alias("n_chars")
+        first = long.select("_key", F.lit(0).cast("bigint").alias("_entry"))
+        entries = _entries(cut_lineage(crossings), first, most).select("_key", "_entry", "_base")
+    entries = entries.withColumn("_slab", F.floor(F.col("_entry") / F.lit(slab_chars)).cast("bigint"))
+    groups = in_slabs(places).drop("_words").groupBy("_key", "_slab")
+    packed = groups.cogroup(entries.groupBy("_key", "_slab")).applyInArrow(
+        lambda keys, rows, own: _packed(limit, slab_chars, arrow_kind, keys, rows, own),
+        f"{kind}, part_no int, text string",
     )
+    return packed.select(F.col("_key").alias(key), "part_no", "text", F.length("text").alias("n_chars"))
 
 
 def text_parts(documents: DataFrame, chars: int, *, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -70,11 +70,11 @@ def test_one_document_is_packed_by_many_tasks(spark):
     tasks, seen = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
     inner = packing._packed
 
-    def watched(limit, slab_chars, kind, keys, table):
+    def watched(limit, slab_chars, kind, keys, table, entry):
         tasks.add(1)
         if sum(table["_size"].to_pylist()) > slab_chars + 2 * limit:
             seen.add(1)
-        return inner(limit, slab_chars, kind, keys, table)
+        return inner(limit, slab_chars, kind, keys, table, entry)
 
     packing._packed = watched
     try:
