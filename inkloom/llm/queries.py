@@ -199,11 +199,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT i, kind, ('0x' || substr(h, 1, 15))::BIGINT AS x, ('0x' || substr(h, 17, 15))::BIGINT AS y
       FROM u
     ), levelled AS (
-      SELECT i, kind, (x >> 16 & 65535) % 24 AS lane, x & 65535 AS value,
-             unnest(range(0, 1 + len(list_filter([1, 3, 7, 15, 31, 63, 127], lambda k: x >> 32 & k = 0)))) AS level
+      SELECT i, kind, (x >> 16 & 65535) % 128 AS lane, x & 65535 AS value,
+             unnest(range(0, 1 + len(list_filter(range(1, 24), lambda k: (x >> 32) % (1::BIGINT << k) = 0)))) AS level
       FROM numbers
     ), lanes AS (
-      SELECT i, kind, level * 24 + lane AS lane, sum(value)::BIGINT % 65536 AS total
+      SELECT i, kind, level * 128 + lane AS lane, sum(value)::BIGINT % 65536 AS total
       FROM levelled GROUP BY ALL
     ), whole AS (
       SELECT i, kind, count(x) AS n,
@@ -215,7 +215,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), prints AS (
       SELECT w.i, w.kind, w.n,
              printf('%08x%08x%08x%08x%08x', w.n, d0, d1, d2, d3) AS head,
-             coalesce(string_agg(printf('%06x', lane * 65536 + total), '' ORDER BY lane), '') AS tail
+             coalesce(string_agg(printf('%07x', lane * 65536 + total), '' ORDER BY lane), '') AS tail
       FROM whole w LEFT JOIN lanes l ON w.i = l.i AND w.kind = l.kind GROUP BY ALL
     ), pairs AS (
       SELECT i, 0 AS pair, i AS other, 1 AS kind FROM e UNION ALL SELECT i, 1, j, 0 FROM e
@@ -224,20 +224,20 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
       UNION ALL
       SELECT p.i, p.pair, l.lane, l.total FROM pairs p JOIN lanes l ON l.i = p.other AND l.kind = p.kind
     ), differ AS (
-      SELECT i, pair, lane // 24 AS level FROM sides
+      SELECT i, pair, lane // 128 AS level FROM sides
       GROUP BY i, pair, lane HAVING count(*) = 1 OR min(total) <> max(total)
     ), off AS (
       SELECT p.i, p.pair, k.level, count(f.level) AS off
-      FROM pairs p, range(0, 8) k(level)
+      FROM pairs p, range(0, 24) k(level)
       LEFT JOIN differ f ON f.i = p.i AND f.pair = p.pair AND f.level = k.level GROUP BY ALL
     ), used AS (
       SELECT i, pair, min_by(off, level) AS off, min(level) AS level
-      FROM off WHERE 2 * off <= 24 OR level = 7 GROUP BY i, pair
+      FROM off WHERE 5 * off <= 512 OR level = 23 GROUP BY i, pair
     ), near AS (
       SELECT p.i, p.pair,
              CASE WHEN a.n + b.n = 0 OR a.head || a.tail = b.head || b.tail THEN 1.0
-             ELSE round(greatest(0.0, least(1.0, 1 - (-ln(1 - least(u.off, 23.5::DOUBLE) / 24.0::DOUBLE)
-               * 24 * pow(2.0::DOUBLE, u.level)) / (a.n + b.n))), 6) END::DOUBLE AS near
+             ELSE round(greatest(0.0, least(1.0, 1 - (-ln(1 - least(u.off, 127.5::DOUBLE) / 128.0::DOUBLE)
+               * 128 * pow(2.0::DOUBLE, u.level)) / (a.n + b.n))), 6) END::DOUBLE AS near
       FROM pairs p JOIN used u ON u.i = p.i AND u.pair = p.pair
       JOIN prints a ON a.i = p.i AND a.kind = 0 JOIN prints b ON b.i = p.other AND b.kind = p.kind
     )

@@ -62,6 +62,32 @@ def test_likeness_follows_the_share_of_equal_units(spark):
         assert all(abs(g - s) < 0.3 for g, s in zip(got, shares, strict=True)), (n, got)
 
 
+def test_likeness_of_very_long_texts(spark):
+    rng = random.Random(4)
+    n = 200_000
+    own, others = ([f"{side}{k} {k % 97} a b." for k in range(n)] for side in "xy")
+    texts = [own, others, own[: n * 3 // 4] + others[n * 3 // 4 :], sentences(rng, 50)]
+    sums = summed(spark, ["\n".join(t) for t in texts])
+    first = sums.filter("id = 0").select(F.col("s").alias("a"))
+    near = mh.likeness(F.col("a"), F.col("s")).alias("l")
+    got = [r.l for r in sums.filter("id > 0").crossJoin(first).orderBy("id").select(near).collect()]
+    assert all(abs(g - wanted) < 0.1 for g, wanted in zip(got, (0, 0.75, 0), strict=True)), got
+
+
+def test_sums_of_parts_and_edits_are_those_of_the_texts(spark):
+    rng = random.Random(5)
+    docs = []
+    for k in range(60):
+        own = [x + rng.choice(["\n", " ", "\n\n", "\t", "  "]) for x in sentences(rng, rng.randrange(30))]
+        docs.append((k, "".join(own).replace(".", rng.choice([".", "", "!", "é."])), None, None, None))
+    found = {r.doc_id: r for r in mh.with_edits(cases.frame(spark, docs)).collect()}
+    texts = [t for _, t, *_ in docs]
+    edited = [t[: len(t) - len(t) // 4] + texts[(k + 1) % 60][: len(t) // 4] for k, t in enumerate(texts)]
+    whole = prints(summed(spark, texts + edited))
+    assert [found[k].fingerprint for k in range(60)] == whole[:60]
+    assert [found[k].edited_fingerprint for k in range(60)] == whole[60:]
+
+
 def test_edits_of_awkward_rows(spark):
     rows = cases.documents()
     found = mh.with_edits(cases.frame(spark)).collect()
