@@ -7,14 +7,17 @@ by Myers' algorithm, whose columns are Python integers as long as the item.
 
 Items and documents are compared by their letters and digits: lower-cased, everything else one
 space, with a space before and after. So an item is whole words: without a budget it is never found
-inside a word, and what a word's rest adds to an end counts as an edit. The items are taken in blocks of ``ITEMS_A_BLOCK``, so what is broadcast is bounded, and
-each block is a pass over the documents.
+inside a word, and what a word's rest adds to an end counts as an edit.
+
+The documents are read once. The items are broadcast in blocks of ``ITEMS_A_BLOCK``. A worker holds
+their texts, and the automatons, many times larger, of at most ``BLOCKS_KEPT`` blocks; of more
+blocks than that it builds one after the other for each batch of texts.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -27,6 +30,7 @@ from inkloom.llm.common import packed, pick, unpacked
 EDGE = " "
 TOKEN = re.compile(r"[^\W_]+")
 ITEMS_A_BLOCK = 5_000
+BLOCKS_KEPT = 4
 MATCH = "array<struct<item_id: bigint, distance: int, start: bigint, stop: bigint>>"
 
 
@@ -202,32 +206,41 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         if len(block) == ITEMS_A_BLOCK:
             yield block
             block = []
-    yield block
+    if block:
+        yield block
+
+
+def _matchers(blocks: list, share: float) -> Callable[[], Iterator[Matcher]]:
+    """Gives the matchers of all blocks, as often as called."""
+    if len(blocks) <= BLOCKS_KEPT:
+        kept = [Matcher(block.value, share) for block in blocks]
+        return lambda: iter(kept)
+
+    def anew() -> Iterator[Matcher]:
+        for block in blocks:
+            yield Matcher(block.value, share)
+
+    return anew
 
 
-def _finder(docs: DataFrame, block: list[tuple[int, str]], share: float):
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+def _finder(benchmark: DataFrame, share: float, *, any_one: bool = False):
+    """Arrow function text -> its matches; with ``any_one`` those of the first block with some."""
+    context = benchmark.sparkSession.sparkContext
+    blocks = [context.broadcast(block) for block in item_blocks(benchmark)]
+    fields = ("item_id", "distance", "start", "stop")
 
     @F.arrow_udf(MATCH)
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        matcher = Matcher(shared.value, share)
-        fields = ("item_id", "distance", "start", "stop")
-        kind = pa.list_(
-            pa.struct(
-                [
-                    ("item_id", pa.int64()), ("distance", pa.int32()),
-                    ("start", pa.int64()), ("stop", pa.int64()),
-                ]
-            )
-        )
+        matchers = _matchers(blocks, share)
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        kind = pa.list_(pa.struct(list(zip(fields, kinds, strict=True))))
         for texts in batches:
-            yield pa.array(
-                [
-                    [dict(zip(fields, m, strict=True)) for m in matcher.matches(text.as_py())]
-                    for text in texts
-                ],
-                kind,
-            )
+            found: list[list[dict]] = [[] for _ in texts]
+            for matcher in matchers():
+                for own, text in zip(found, texts, strict=True):
+                    if not (own and any_one):
+                        own += [dict(zip(fields, m, strict=True)) for m in matcher.matches(text.as_py())]
+            yield pa.array(found, kind)
 
     return find
 
@@ -241,20 +254,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.05) ->
     pass, and one window an item and place.
     """
     rows = pick(docs, doc_id="bigint", text="string")
-    found = None
-    for block in item_blocks(benchmark):
-        if found is not None and not block:
-            break
-        own = rows.select("doc_id", F.explode(_finder(docs, block, share)("text")).alias("m"))
-        own = own.select("doc_id", "m.*")
-        found = own if found is None else found.unionByName(own)
-    return found
+    found = _finder(benchmark, share)("text")
+    return rows.select("doc_id", F.explode(found).alias("m")).select("doc_id", "m.*")
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.05) -> DataFrame:
     """The rows of ``docs`` in which no item is found, columns unchanged."""
-    rows = packed(docs)
-    for block in item_blocks(benchmark):
-        if block:
-            rows = rows.filter(F.size(_finder(docs, block, share)("text")) == 0)
-    return unpacked(rows, docs.columns)
+    found = _finder(benchmark, share, any_one=True)("text")
+    return unpacked(packed(docs).filter(F.size(found) == 0), docs.columns)

@@ -261,10 +261,11 @@ def with_edits(docs: DataFrame) -> DataFrame:
     pairs = cut_lineage(_followed(keys))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     rows = _with_own_sums(rows)
-    # Texts and sums are dealt by (id, code) once; both joins read that exchange, so both read all.
+    # Texts and sums are dealt by (id, code) once; both joins read that exchange, so both read all
+    # and neither is a broadcast join, before which every text would be summed once more.
     ahead = pairs.toDF("own_id", "own_code", "n_chars", "id", "code")
     heads = (
-        rows.join(ahead, ["id", "code"])
+        rows.join(ahead.hint("merge"), ["id", "code"])
         .select(
             F.col("own_id").alias("id"), F.col("own_code").alias("code"), "n_chars",
             F.substring("text", F.lit(1), quarter).alias("head"),
@@ -273,7 +274,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
         .groupBy("id", "code")
         .agg(F.min(F.struct("n_chars", "next_id", "head", "next_sum")).alias("next"))
     )
-    joined = rows.join(heads, ["id", "code"]).select(
+    joined = rows.join(heads.hint("merge"), ["id", "code"]).select(
         "doc_id", "next.n_chars", "next.next_sum",
         F.concat(_stays(F.col("text")), "next.head").alias("edited"),
         F.col("sums")[0]["at"].alias("at"), F.col("sums")[1]["sum"].alias("sum"), "sums",

@@ -97,6 +97,22 @@ def test_blocks_of_items_do_not_change_the_result(spark, monkeypatch, size):
     assert decontaminate.uncontaminated(docs, empty).count() == docs.count()
 
 
+@pytest.mark.parametrize("kept", [1, 4])
+def test_many_items_are_one_scan(spark, monkeypatch, kept):
+    """20,000 items in five blocks, of which fewer are held at once: all are found, in one scan."""
+    monkeypatch.setattr(decontaminate, "BLOCKS_KEPT", kept)
+    rng = random.Random(6)
+    items = [(k, " ".join(f"t{rng.randrange(10**6)}" for _ in range(8))) for k in range(20_001)]
+    texts = [f"before {items[k][1]} between {items[-1 - k][1]} after" for k in range(0, 10_000, 500)]
+    docs = cases.frame(spark, [(k, t, None, None, None) for k, t in enumerate([*texts, "clean"])])
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = decontaminate.contaminated(docs, bench)
+    wanted = sorted((k, i) for k in range(20) for i in (500 * k, 20_000 - 500 * k))
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == wanted
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("find(") == 1
+    assert [r.doc_id for r in decontaminate.uncontaminated(docs, bench).collect()] == [20]
+
+
 def test_short_items_are_whole_words(spark):
     texts = ["a party of eyes", "the art of it", "yes", "Say: YES!", "smart", "art", "no art, yes", "partial art-y yesterday"]
     docs = cases.frame(spark, [(k, t, None, None, None) for k, t in enumerate(texts)])
