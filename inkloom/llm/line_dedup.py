@@ -26,6 +26,8 @@ from inkloom.session import cut_lineage
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 ROWS_A_SHARD = 1 << 19
+#: A hot line has more than one part in so many of all rows, so that all of them can be broadcast.
+HOT_LINES = 100_000
 HASHES = "h bigint, f bigint, doc_id bigint"
 SHARD = "shard bigint, sizes binary, bits binary, prints binary, counts binary, last binary"
 
@@ -132,9 +134,11 @@ def probed_lines(hashes: DataFrame, counts: DataFrame, shards: int, rows: int) -
     """(h, f, doc_id, n, last) of every (line, document) that the index of ``counts`` knows.
 
     A line in more than rows / shards documents is hot; there are at most ``shards`` of those,
-    each copied into enough shards that no shard gets more than about its share of probes.
+    each copied into enough shards that no shard gets more than about its share of probes. With
+    more than ``HOT_LINES`` shards it takes rows / ``HOT_LINES`` documents, so there are no more
+    hot lines than that.
     """
-    share = max(1, rows // shards)
+    share = max(1, rows // min(shards, HOT_LINES))
     hot = counts.filter(F.col("n") > share).select(
         "h", "f", F.ceil(F.col("n") / F.lit(share)).cast("int").alias("copies")
     )
