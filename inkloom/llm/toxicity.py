@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkloom.llm.common import fold, pick
+from inkloom.session import cut_lineage
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -108,6 +109,36 @@ class FactorizationMachine:
                 self.factors[terms] = own - rate * slope / np.sqrt(g_factors[terms])
 
 
+def training_rows(
+    docs: DataFrame, labels: DataFrame, *, folds: int, held_out: int, max_rows: int
+) -> DataFrame:
+    """(doc_id, toxic, text): the rows to learn from, at most about ``max_rows`` / 2 a label."""
+    marks = (
+        pick(labels, doc_id="bigint", toxic="int")
+        .filter((fold(F.col("doc_id"), folds) != held_out) & F.col("toxic").isNotNull())
+        .groupBy("doc_id")
+        .agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
+    )
+    rows = (
+        pick(docs, doc_id="bigint", text="string")
+        .filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+        .withColumn("code", F.xxhash64("text"))
+    )
+    labelled = cut_lineage(rows.select("doc_id", "code").distinct().join(marks, "doc_id"))
+    sizes = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+    draw = F.pmod(F.xxhash64("doc_id", "code"), F.lit(1_000_000)) / F.lit(1e6)
+    share = F.lit(0.0)
+    for label, n in sizes.items():
+        own = F.lit(min(1.0, max_rows / len(sizes) / n))
+        share = F.when(F.col("toxic") == label, own).otherwise(share)
+    # The rows chosen are bounded by max_rows: they are sent to the texts, not the texts to them.
+    return (
+        rows.join(F.broadcast(labelled.filter(draw < share)), ["doc_id", "code"])
+        .dropDuplicates(["doc_id", "code"])
+        .select("doc_id", "toxic", "text")
+    )
+
+
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, *, folds: int = 5, held_out: int = 0,
     max_rows: int = 12_000, bits: int = 18, factors: int = 4,
@@ -116,37 +147,16 @@ def fit_toxicity(
 ) -> FactorizationMachine:
     """A machine fitted on the labelled rows outside the held-out fold.
 
-    Of each label at most about ``max_rows`` / 2 rows are taken, by a hash of the id, each with all
-    its terms. Rows with null toxic or null text
-    teach nothing; a doc_id labelled both ways counts as toxic. Without a row to learn from, all
-    weights stay zero and every score is 0.5.
+    Of each label at most about ``max_rows`` / 2 rows are taken, by a hash of id and text, each with
+    all its terms, however long the text. Rows with null toxic, null doc_id or null text teach
+    nothing; rows alike in doc_id and text are one, rows of one doc_id with different texts are
+    several; a doc_id labelled both ways counts as toxic. Extra columns, whatever their names, are
+    not read. Without a row to learn from, all weights stay zero and every score is 0.5.
     """
-    marks = (
-        pick(labels, doc_id="bigint", toxic="int")
-        .filter((fold(F.col("doc_id"), folds) != held_out) & F.col("toxic").isNotNull())
-        .groupBy("doc_id")
-        .agg(F.max("toxic").alias("toxic"))
-    )
-    sizes = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     model = FactorizationMachine.blank(bits, factors)
-    if not sizes:
-        return model
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / F.lit(1e6)
-    share = F.coalesce(
-        *[
-            F.when(F.col("toxic") == label, F.lit(min(1.0, max_rows / len(sizes) / n)))
-            for label, n in sizes.items()
-        ]
-    )
-    chosen = marks.filter(draw < share)
     hashed = F.arrow_udf(_hashed(bits), "array<int>")
-    # The sample is bounded by max_rows, so its ids are: the texts are not shuffled for them.
-    sample = (
-        pick(docs, doc_id="bigint", text="string")
-        .filter(F.col("text").isNotNull())
-        .join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "toxic", hashed("text").alias("terms"))
-    )
+    rows = training_rows(docs, labels, folds=folds, held_out=held_out, max_rows=max_rows)
+    sample = rows.select("doc_id", "toxic", hashed("text").alias("terms"))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, np.ndarray, int]] = []
@@ -175,6 +185,8 @@ def fit_toxicity(
 
     shape = "bias double, linear binary, factors binary, chosen binary, scale binary"
     fitted = sample.repartition(1).mapInArrow(train, shape).first()
+    if fitted is None:
+        return model
     return FactorizationMachine(
         fitted["bias"],
         np.frombuffer(fitted["linear"], np.float32),

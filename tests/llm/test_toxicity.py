@@ -92,3 +92,16 @@ def test_awkward_rows(spark):
     empty = toxicity.fit_toxicity(docs, labels.filter("doc_id < 0"))
     assert {r.s for r in plain.select(toxicity.toxicity_of(spark, empty)("text").alias("s")).collect()} == {0.5}
     assert toxicity.fit_toxicity(cases.frame(spark, []), labels).bias == 0.0
+
+
+def test_the_bound_is_on_rows_not_on_ids(spark):
+    """One doc_id with 3,000 texts, and one text 3,000 times, leave the sample near its bound."""
+    rows = [(1, f"text {k} of the hot one") for k in range(3000)] + [(2, "the same text")] * 3000
+    rows += [(k, f"own text {k}") for k in range(3, 200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 200)], "doc_id bigint, toxic int")
+    drawn = toxicity.training_rows(docs, labels, folds=1, held_out=1, max_rows=400).collect()
+    # All 99 clean rows, the one text of id 2 among them, and about 200 of 3,098 toxic ones.
+    assert len({(r.doc_id, r.text) for r in drawn}) == len(drawn)
+    assert sum(r.toxic == 0 for r in drawn) == 99
+    assert 150 < sum(r.toxic == 1 for r in drawn) < 250
