@@ -195,8 +195,8 @@ def _stays(text: Column) -> Column:
 def _with_own_sums(rows: DataFrame) -> DataFrame:
     """Adds ``sums``: the whole units that an edit leaves, and ``at``, where they end; all units.
 
-    Each unit is summed once, as the two parts of a text add up. Both are in one array, so that
-    whoever reads one reads the same columns as who reads both.
+    Each unit is summed once, as the two parts of a text add up. Both are in one array, and read
+    by ``element_at``, which is not pushed below a join: who reads one has the columns of both.
     """
     left = F.regexp_extract(_stays(F.col("text")), WHOLE_UNITS, 0)
     cut = _settled(rows, "left", left).withColumn("at", F.char_length("left"))
@@ -269,7 +269,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
         .select(
             F.col("own_id").alias("id"), F.col("own_code").alias("code"), "n_chars",
             F.substring("text", F.lit(1), quarter).alias("head"),
-            F.col("sums")[1]["sum"].alias("next_sum"), F.col("doc_id").alias("next_id"),
+            F.element_at("sums", 2)["sum"].alias("next_sum"), F.col("doc_id").alias("next_id"),
         )
         .groupBy("id", "code")
         .agg(F.min(F.struct("n_chars", "next_id", "head", "next_sum")).alias("next"))
@@ -277,11 +277,11 @@ def with_edits(docs: DataFrame) -> DataFrame:
     joined = rows.join(heads.hint("merge"), ["id", "code"]).select(
         "doc_id", "next.n_chars", "next.next_sum",
         F.concat(_stays(F.col("text")), "next.head").alias("edited"),
-        F.col("sums")[0]["at"].alias("at"), F.col("sums")[1]["sum"].alias("sum"), "sums",
+        F.element_at("sums", 1)["at"].alias("at"), F.element_at("sums", 2)["sum"].alias("sum"), "sums",
     )
     # Of the edited text only what follows the whole units that stayed is summed anew.
     tail = joined.withColumn("tail", F.expr("substring(edited, at + 1)"))
-    summed = with_sum(_settled(tail, "left_sum", F.col("sums")[0]["sum"]), "tail", "tail_sum")
+    summed = with_sum(_settled(tail, "left_sum", F.element_at("sums", 1)["sum"]), "tail", "tail_sum")
     edited_sum = combined(F.col("left_sum"), F.col("tail_sum"))
     summed = _settled(summed, "edited_sum", edited_sum)
     return summed.select(
