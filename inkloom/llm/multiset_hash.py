@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from inkloom.functions.strings import bind
 from inkloom.llm.common import pick
 from inkloom.session import cut_lineage
 
@@ -120,12 +121,13 @@ def multiset_sum(numbers: Column) -> Column:
 
 def fingerprint(total: Column) -> Column:
     """The hex form of a sum."""
-    digits = lambda x, n: F.lower(F.lpad(F.hex(x), n, "0"))
-    return F.concat(
+    digits = lambda x, n: F.lpad(F.hex(x), n, "0")
+    whole = F.concat(
         digits(total["n"], 8),
         F.array_join(F.transform(total["dense"], lambda x: digits(x, 8)), ""),
         F.array_join(F.transform(total["bins"], lambda x: digits(x, 7)), ""),
     )
+    return F.lower(whole)
 
 
 def combined(left: Column, right: Column, sign: int = 1) -> Column:
@@ -151,28 +153,34 @@ def likeness(left: Column, right: Column) -> Column:
     On level k a lane differs with probability 1 - exp(-d / 2^k / BINS); the first level of which
     at most four fifths of the lanes differ is used, or the last. Equal sums have likeness 1.
     """
-    differ = F.array_union(
-        F.transform(F.array_except(left["bins"], right["bins"]), lambda b: F.shiftright(b, 16)),
-        F.transform(F.array_except(right["bins"], left["bins"]), lambda b: F.shiftright(b, 16)),
+    lanes = lambda one, other: F.transform(
+        F.array_except(one["bins"], other["bins"]), lambda b: F.shiftright(b, 16)
     )
+    differ = F.array_union(lanes(left, right), lanes(right, left))
+    return bind(differ, lambda d: _likeness(left, right, d))
+
+
+def _likeness(left: Column, right: Column, differ: Column) -> Column:
+    def off(k: Column) -> Column:
+        within = lambda lane: (lane >= k * BINS) & (lane < (k + 1) * BINS)
+        return F.struct(k.alias("level"), F.size(F.filter(differ, within)).alias("off"))
+
     # No lane differs on the level after the last one that has some.
     top = F.coalesce(F.floor(F.array_max(differ) / F.lit(BINS)).cast("int") + 1, F.lit(0))
-    counts = F.transform(
-        F.sequence(F.lit(0), F.least(top, F.lit(LEVELS - 1))),
-        lambda k: F.struct(
-            k.alias("level"),
-            F.size(F.filter(differ, lambda b: F.floor(b / F.lit(BINS)) == k)).alias("off"),
-        ),
-    )
-    usable = F.filter(counts, lambda c: (5 * c["off"] <= 4 * BINS) | (c["level"] == LEVELS - 1))
-    at = F.element_at(usable, 1)
-    gone = -F.ln(1 - F.least(at["off"], F.lit(BINS - 0.5)) / F.lit(float(BINS))) * F.lit(BINS) * F.pow(
-        F.lit(2.0), at["level"]
-    )
+    counts = F.transform(F.sequence(F.lit(0), F.least(top, F.lit(LEVELS - 1))), off)
+    enough = lambda c: (5 * c["off"] <= 4 * BINS) | (c["level"] == LEVELS - 1)
+    later = F.element_at(F.filter(counts, enough), 1)
     units = left["n"] + right["n"]
+
+    def near(at: Column) -> Column:
+        full = F.least(at["off"], F.lit(BINS - 0.5)) / F.lit(float(BINS))
+        gone = -F.ln(1 - full) * F.lit(BINS) * F.pow(F.lit(2.0), at["level"])
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - gone / units))
+
+    # The first level does for most texts; the others are counted only where it does not.
+    at = bind(off(F.lit(0)), lambda c: F.when(enough(c), c).otherwise(later))
     same = (left["n"] == right["n"]) & (left["dense"] == right["dense"]) & (F.size(differ) == 0)
-    near = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - gone / units))
-    return F.when(same | (units == 0), F.lit(1.0)).otherwise(F.round(near, 6))
+    return F.when(same | (units == 0), F.lit(1.0)).otherwise(F.round(bind(at, near), 6))
 
 
 def _settled(frame: DataFrame, name: str, value: Column) -> DataFrame:
