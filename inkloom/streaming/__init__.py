@@ -28,6 +28,14 @@ def page_stream(
     return spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder)
 
 
+def table_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A parquet table as its files arrive, be it a folder of files or one file.
+
+    The path goes to the source as a pattern of one match: a plain path must be a folder there.
+    """
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def stream_chapters(
     pages: DataFrame, out: str, checkpoint: str, config: ExtractConfig = DEFAULT
 ) -> StreamingQuery:

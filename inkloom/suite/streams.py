@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 
 from inkloom.session import shared_folder
-from inkloom.streaming import document_stream, page_stream, stream_chapters, stream_chunks
+from inkloom.sources.pages import PAGE_SCHEMA
+from inkloom.streaming import document_stream, stream_chapters, stream_chunks, table_stream
 from inkloom.streaming.store import ChapterStore, stream_saves
 from inkloom.suite import query, table
 from inkloom.suite.books import STORE_SQL
@@ -26,7 +27,7 @@ def _drained(spark, start) -> DataFrame:
 
 @query("stream_chapters", CHAPTERS_SQL)
 def chapters(spark, sf_dir) -> DataFrame:
-    pages = page_stream(spark, sf_dir, "pages.parquet")
+    pages = table_stream(spark, f"{sf_dir}/pages.parquet", PAGE_SCHEMA)
     return _drained(spark, lambda out, checkpoint: stream_chapters(pages, out, checkpoint))
 
 
