@@ -37,7 +37,7 @@ def chapters(spark, sf_dir) -> DataFrame:
 )
 def chunks(spark, sf_dir) -> DataFrame:
     scan = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    documents = document_stream(spark, sf_dir, scan.schema, "documents.parquet")
+    documents = table_stream(spark, f"{sf_dir}/documents.parquet", scan.schema)
     return _drained(
         spark, lambda out, checkpoint: stream_chunks(documents, out, checkpoint, key="doc_id")
     )

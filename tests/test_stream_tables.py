@@ -20,3 +20,8 @@ def _rows(frame) -> list[str]:
 def test_stream_chapters_of_a_folder(spark, tmp_path):
     found = queries()["stream_chapters"](spark, _in_folders(spark, tmp_path, "pages"))
     assert _rows(found) == _rows(queries()["chapters"](spark, SMALL)) != []
+
+
+def test_stream_chunks_of_a_folder(spark, tmp_path):
+    found = queries()["stream_chunks"](spark, _in_folders(spark, tmp_path, "documents"))
+    assert _rows(found) == _rows(queries()["chunk_text"](spark, SMALL)) != []
