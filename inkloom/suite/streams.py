@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from inkloom.session import shared_folder
 from inkloom.sources.pages import PAGE_SCHEMA
-from inkloom.streaming import document_stream, stream_chapters, stream_chunks, table_stream
+from inkloom.streaming import stream_chapters, stream_chunks, table_stream
 from inkloom.streaming.store import ChapterStore, stream_saves
 from inkloom.suite import query, table
 from inkloom.suite.books import STORE_SQL
@@ -48,7 +48,7 @@ def store(spark, sf_dir) -> DataFrame:
     """Chapters saved batch by batch as they arrive, the last one of a slug kept."""
     folder = f"{shared_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "conversations").schema
-    arriving = chapters_of(document_stream(spark, sf_dir, schema, "conversations.parquet"))
+    arriving = chapters_of(table_stream(spark, f"{sf_dir}/conversations.parquet", schema))
     kept = ChapterStore(f"{folder}/store", buckets=16)
     stream_saves(arriving, kept.save, f"{folder}/checkpoint").awaitTermination()
     return kept.chapters(spark).select("book_id", "slug", "seq", "url", "title", "code", "html")

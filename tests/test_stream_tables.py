@@ -25,3 +25,9 @@ def test_stream_chapters_of_a_folder(spark, tmp_path):
 def test_stream_chunks_of_a_folder(spark, tmp_path):
     found = queries()["stream_chunks"](spark, _in_folders(spark, tmp_path, "documents"))
     assert _rows(found) == _rows(queries()["chunk_text"](spark, SMALL)) != []
+
+
+def test_stream_store_of_a_folder(spark, tmp_path):
+    found = queries()["stream_store"](spark, _in_folders(spark, tmp_path, "conversations"))
+    stored = queries()["chapter_store"](spark, SMALL)
+    assert _rows(found) == _rows(stored.select(*found.columns)) != []
