@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from inkloom.operators import events
 from inkloom.operators.events import page_events, page_nodes, register_page_nodes
 
 
@@ -23,3 +24,15 @@ def test_lateral_join_equals_page_nodes(spark):
         "SELECT count(*) AS n FROM udtf_pages p, LATERAL page_nodes(p.html) n WHERE n.tag = 'p' AND n.kind = 'open'"
     )
     assert counted.first().n == wanted.filter("tag = 'p' AND kind = 'open'").count()
+
+
+def test_nodes_of_a_page_are_not_taken_apart_again(monkeypatch):
+    html = "<p class=x id=y>a<b>c</b><p>d &amp; e<br>"
+    one = events._Events(None)
+    events.add_page(one, html)
+    # The nodes by way of an Arrow table and back, which took most of the time.
+    there = [tuple(node.values()) for node in one.to_arrow().flatten().to_pylist() if node["kind"] != "close"]
+    monkeypatch.delattr(events._Events, "to_arrow")
+    here = list(events._PageNodes().eval(html))
+    assert [(*row[:8], list(row[8].items()), row[9]) for row in here] == there
+    assert {"class": "x", "id": "y"} in [row[8] for row in here]
