@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import inspect
+
+import pyarrow as pa
+
 from inkloom.operators import events
 from inkloom.operators.events import page_events, page_nodes, register_page_nodes
 
@@ -36,3 +40,17 @@ def test_nodes_of_a_page_are_not_taken_apart_again(monkeypatch):
     here = list(events._PageNodes().eval(html))
     assert [(*row[:8], list(row[8].items()), row[9]) for row in here] == there
     assert {"class": "x", "id": "y"} in [row[8] for row in here]
+
+
+def test_batches_of_events_are_bounded_by_characters():
+    pages = ["<p>" + "é word " * 20_000 + f"</p>{k}" for k in range(12)] + [None, ""]
+    given = pa.RecordBatch.from_arrays([pa.array(range(len(pages))), pa.array(pages)], ["page_id", "html"])
+    # As page_events calls it: few events, but much text.
+    most = inspect.signature(page_events).parameters["batch_chars"].default
+    found = list(events._batches(None, 200_000, most)([given]))
+    assert len(found) == 2 and max(batch.nbytes for batch in found) < 2 * most
+    assert [k for batch in found for k in batch["page_id"].to_pylist()] == list(range(len(pages)))
+    whole = events._Events(None)
+    for page in pages:
+        events.add_page(whole, page)
+    assert [e for batch in found for e in batch["events"].to_pylist()] == whole.to_arrow().to_pylist()
