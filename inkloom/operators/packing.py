@@ -1,6 +1,7 @@
 """Chunks of documents that no single task could hold.
 
-A document comes as rows of any cut. Its parts are cut anew at places that end a sentence whatever
+A document comes as rows of any cut. One that fits into a row is put together and packed there. The
+parts of a longer one are cut anew at places that end a sentence whatever
 stands around them, so sentences are found part by part. Each piece then has a position, the
 characters before it, and the chunk that begins at a position ends at a position that follows from
 sizes alone: greedy packing is a function from position to next position. Positions are dealt into
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from inkloom.functions.sentences import MAX_CHARS, SAFE_CUT, chunk_limit, normalise_text, text_pieces
 from inkloom.functions.strings import UNICODE_SPACE, trim_ws
+from inkloom.operators.chunks import chunks
 from inkloom.operators.extract import settle
 from inkloom.operators.keyed import null_safe_join, running_sum
 from inkloom.session import cut_lineage
@@ -32,6 +34,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Characters whose pieces are packed in one task.
 SLAB_CHARS = 1 << 20
+# Characters of a document that is put together in one row.
+ROW_CHARS = 1 << 17
 
 
 def recut(parts: DataFrame, key: str, order: str, text: str) -> DataFrame:
@@ -188,12 +192,31 @@ def chunks_of_parts(
 
     Equal to :func:`inkloom.operators.chunks.chunks` over the rows of each document put together
     by ``order``, which is unique in a document, wherever they are cut. Null text is empty; a null
-    key is a document; a document without text has no chunks. No task holds more than one part,
-    one stretch of text without a sentence end, or ``slab_chars`` characters and one chunk.
+    key is a document; a document without text has no chunks. Documents of up to ``ROW_CHARS``
+    characters (or ``slab_chars``, if fewer) are packed in a row each. Of longer ones no row holds more
+    than one part, one stretch of text without a sentence end, or ``slab_chars`` characters and one
+    chunk.
     """
     limit = chunk_limit(limit, strict=strict, floor=floor)
     # A slab holds at least one piece, and a chunk leads to the next slab at most.
     slab_chars = max(slab_chars, 2 * (limit + 1))
+    filled = parts.filter(F.length(text) > 0)
+    sizes = filled.groupBy(key).agg(F.sum(F.length(text)).alias("_chars"))
+    long = cut_lineage(sizes.filter(F.col("_chars") > min(ROW_CHARS, slab_chars)).select(key))
+    own = F.struct(F.col(order).alias("_order"), F.col(text).alias("_text"))
+    short = null_safe_join(filled, long, [key], "left_anti").groupBy(key).agg(F.array_sort(F.collect_list(own)).alias("_all"))
+    whole = short.select(key, F.array_join("_all._text", "").alias(text))
+    found = chunks(whole, limit, strict=strict, key=key, text=text)
+    if long.isEmpty():
+        return found
+    in_parts = null_safe_join(filled, long, [key], "left_semi")
+    return found.unionByName(_chunks_by_slab(in_parts, limit, strict, key, order, text, slab_chars))
+
+
+def _chunks_by_slab(
+    parts: DataFrame, limit: int, strict: bool, key: str, order: str, text: str, slab_chars: int
+) -> DataFrame:
+    """The chunks of long documents, packed slab by slab."""
     units = cut_lineage(recut(parts, key, order, text).withColumnRenamed(key, "_key"))
 
     def cut(frame: DataFrame, *own: str) -> DataFrame:

@@ -86,3 +86,26 @@ def test_one_document_is_packed_by_many_tasks(spark):
     whole = chunks(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), limit)
     assert found == [r.text for r in whole.orderBy("part_no").collect()]
     assert got.agg(F.max("n_chars")).first()[0] <= limit
+
+
+def test_short_documents_need_no_slabs(spark):
+    """Only documents longer than a row go to the slabs; short ones are packed without a Python group each."""
+    rng = random.Random(7)
+    lengths = [(k, 20 + 3 * k) for k in range(40)] + [(None, 50), (100, 4000), (101, 3000)]
+    whole = [(key, " ".join(rng.choices(["alpha", "beta.", "gamma", "delta!"], k=n))) for key, n in lengths]
+    documents = spark.createDataFrame(whole, "doc_id bigint, text string")
+    slab, limit = 5000, 300
+    groups = spark.sparkContext.accumulator(0)
+    inner = packing._packed
+
+    def watched(*given):
+        groups.add(1)
+        return inner(*given)
+
+    packing._packed = watched
+    try:
+        got = packing.chunks_of_parts(packing.text_parts(documents, 70), limit, slab_chars=slab).collect()
+    finally:
+        packing._packed = inner
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, chunks(documents, limit).collect()), key=repr)
+    assert 2 <= groups.value <= sum(len(text) // slab + 2 for key, text in whole if key in (100, 101))
